@@ -57,9 +57,53 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, folder, "nctb_qa")).withColumnRenamed("id", "pair_id")
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    from pothi.llm.token_tree import encode_corpus
+
+    return encode_corpus(_table(spark, folder, "documents"))
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from pothi.llm.packing import pack
+    from pothi.llm.token_tree import token_counts
+
+    documents = _table(spark, folder, "documents").select(
+        "doc_id", F.when(F.col("text").rlike(r"(?U)\S"), F.col("text")).alias("text")
+    )
+    packs = _table(spark, folder, "pack_sizes")
+    return pack(token_counts(documents), packs), packs
+
+
+def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Container of every document, or piece of one, for each capacity."""
+    return _packed(spark, folder)[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    from pothi.llm.packing import pack_report
+
+    return pack_report(*_packed(spark, folder))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold template residue, filler, or messages of the delivering system."""
+    from pothi.llm.residue import find_residue
+
+    return find_residue(_table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are left once residue is excluded."""
+    from pothi.llm.residue import without_residue
+
+    return without_residue(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_normalised, p5_found, p5_report, p7_found, p7_groups)
+    for f in (p2_found, p2_normalised, p5_found, p5_report, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
 }
 
 ORACLES: dict[str, str] = {}
