@@ -27,6 +27,28 @@ def p2_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return normalise(_table(spark, folder, "nctb_qa").select("pair_id", *fields).distinct(), fields)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose label does not name the one language of the question, with each language of the question."""
+    from pothi.llm.language_id import record_languages
+
+    found = record_languages(_table(spark, folder, "nctb_qa"))
+    return found.where((~F.col("label_right")) & (F.col("language") != "und")).select("pair_id", "language").distinct()
+
+
+def p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language of each record with its confidence."""
+    from pothi.llm.language_id import record_languages
+
+    return record_languages(_table(spark, folder, "nctb_qa")).distinct()
+
+
+def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each segment of each question with its language and confidence."""
+    from pothi.llm.language_id import segment_languages
+
+    return segment_languages(_table(spark, folder, "nctb_qa")).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records alike of which exactly one stands in train."""
     from pothi.llm.cross_split import cross_split_pairs
@@ -42,6 +64,13 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(_table(spark, folder, "nctb_qa"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs with the kind of defect."""
+    from pothi.llm.pair_defects import find_defects
+
+    return find_defects(_table(spark, folder, "nctb_qa"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of records that share at least 0.8 of their words."""
     from pothi.llm.near_duplicates import near_duplicate_pairs
@@ -103,7 +132,7 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_normalised, p5_found, p5_report, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
+    for f in (p2_found, p2_normalised, p3_found, p3_records, p3_segments, p5_found, p5_report, p6_found, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
 }
 
 ORACLES: dict[str, str] = {}
