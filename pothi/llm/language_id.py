@@ -81,11 +81,11 @@ LABELS: dict[str, str] = {
     "français": "fr", "francais": "fr", "es": "es", "spa": "es", "spanish": "es", "español": "es", "espanol": "es", "castellano": "es",
 }
 
-DIMENSIONS = 8192
+DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)
 FULL_SENTENCE = 4
 #: Corpus segments that the seed may label for the final centroids, at most.
-SAMPLE = 12_000
+SAMPLE = 3000
 CENTROIDS = 4
 #: Cosine of seed and corpus segments from which the seed's label is taken, and its lead over other languages.
 SEED_LEAD = 1.25
@@ -141,7 +141,7 @@ def features(texts: list[str]) -> np.ndarray:
         whole = owner[:stop] == owner[k - 1 :]
         if k == 1:
             whole &= code != 32
-        slot = ((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(51)).astype(np.int64)
+        slot = ((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int64)
         table += np.bincount((owner[:stop] * DIMENSIONS + slot)[whole], minlength=len(table)).astype(np.float32)
     return table.reshape(len(texts), DIMENSIONS)
 

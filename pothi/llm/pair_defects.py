@@ -76,7 +76,7 @@ AND_THEN = (", and the reason is this: ", ", and the answer is: ", ", আর উ
 
 HASHED = 2048
 #: Rows of the corpus that the classifier may be fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 1500
 _letter = r"[\w\u0900-\u0963\u0966-\u0dff\u200c\u200d]"
 WORDS = re.compile(rf"{_letter}+(?:[-']{_letter}+)*")
 _context_token = re.compile(rf"{_letter}+(?:-{_letter}+)*|[.?!।]")

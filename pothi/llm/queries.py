@@ -12,6 +12,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of scanning noise in each source text and evidence."""
+    from pothi.llm.scan_repair import scan_noise
+
+    return scan_noise(_table(spark, folder, "nctb_qa"))
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Source texts and evidence as continuous paragraphs."""
+    from pothi.llm.scan_repair import repaired
+
+    return repaired(_table(spark, folder, "nctb_qa").select("pair_id", "evidence", "source_text").distinct())
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that are not in the consistent form."""
     from pothi.llm.unicode_form import unstable_fields
@@ -49,6 +63,37 @@ def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
     return segment_languages(_table(spark, folder, "nctb_qa")).distinct()
 
 
+def _sampled(spark: SparkSession, folder: str):
+    from pothi.llm.proportional_sample import sample_to_targets
+
+    return sample_to_targets(_table(spark, folder, "nctb_qa"), _table(spark, folder, "target_mix"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets that cannot be met by a sample of half of the pairs."""
+    return _sampled(spark, folder).report.where(~F.col("can_be_met")).select("language", "subject", "class_num")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every target with what is available and what was sampled."""
+    return _sampled(spark, folder).report
+
+
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample."""
+    return _sampled(spark, folder).sample
+
+
+P4_FOUND_SQL = """
+WITH pairs AS (SELECT DISTINCT pair_id, language, subject, class_num FROM nctb_qa),
+n AS (SELECT floor(count(DISTINCT pair_id) / 2) AS size FROM nctb_qa),
+have AS (SELECT language, subject, class_num, count(DISTINCT pair_id) AS available FROM pairs GROUP BY ALL)
+SELECT t.language, t.subject, t.class_num FROM target_mix t CROSS JOIN n LEFT JOIN have h
+  ON h.language = t.language AND h.subject = t.subject AND h.class_num = t.class_num
+WHERE coalesce(h.available, 0) < greatest(t.min_rows, floor(t.target_permille * n.size / 1000))
+"""
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records alike of which exactly one stands in train."""
     from pothi.llm.cross_split import cross_split_pairs
@@ -132,7 +177,7 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_normalised, p3_found, p3_records, p3_segments, p5_found, p5_report, p6_found, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
+    for f in (p1_found, p1_repaired, p2_found, p2_normalised, p3_found, p3_records, p3_segments, p4_found, p4_report, p4_sample, p5_found, p5_report, p6_found, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p4_found": P4_FOUND_SQL}
