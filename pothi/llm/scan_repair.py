@@ -33,6 +33,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,15 +74,24 @@ _item = re.compile(r"^\s*(?:\d{1,3}[.)]|[০-৯]{1,3}[.)।]|[-•*])\s")
 LONGEST_EDGE = 90
 
 
+_bengali_digit = re.compile("[০-৯]")
+_number, _blanks = re.compile(r"\d+"), re.compile(r"\s+")
+
+
+def _western(text: str) -> str:
+    return text.translate(_digits) if _bengali_digit.search(text) else text
+
+
 def _fold(line: str) -> str:
-    return re.sub(r"\d+", "0", re.sub(r"\s+", " ", line.translate(_digits).lower())).strip()
+    return _number.sub("0", _blanks.sub(" ", _western(line).lower())).strip()
 
 
 def edge_parts(line: str) -> tuple[list[str], bool] | None:
     """Folded parts of a line that may be a header, and whether a page number stands in it; nothing for other lines."""
-    plain = line.strip().translate(_digits)
+    plain = line.strip()
     if not plain or len(plain) > LONGEST_EDGE or _sentence_end.search(plain) or _item.match(plain):
         return None
+    plain = _western(plain)
     page = False
     for pattern in (_page_before, _page_after):
         mark = pattern.search(plain)
@@ -99,7 +109,10 @@ def edge_parts(line: str) -> tuple[list[str], bool] | None:
 
 def is_page_number(lines: list[str], i: int) -> bool:
     """Whether line ``i`` is only a printed page number."""
-    plain = lines[i].strip().translate(_digits)
+    plain = lines[i].strip()
+    if len(plain) > 20 or not plain:
+        return False
+    plain = _western(plain)
     if _page_line.match(plain):
         return True
     if not _bare.match(plain):
@@ -107,7 +120,7 @@ def is_page_number(lines: list[str], i: int) -> bool:
     for step in (-1, 1):
         j = i + step
         if 0 <= j < len(lines):
-            beside = lines[j].strip().translate(_digits)
+            beside = _western(lines[j].strip()[-20:])
             if _bare.match(beside) or (step < 0 and beside.endswith(":")):
                 return False
     return True
@@ -138,6 +151,22 @@ class ScanModel:
         n, first = self.edges.get(parts[0], (0, 0))
         return 2 * first >= n
 
+    @cached_property
+    def floor(self) -> int:
+        """Count from which a word can be what a word that the corpus does not know was printed as."""
+        return max(RATIO * (self.least if self.least > 3 else 1), 6)
+
+    @cached_property
+    def forms(self) -> dict[str, str]:
+        """Each form that one confusion makes of a frequent word, with the most frequent such word."""
+        out: dict[str, str] = {}
+        for word, n in self.words.items():
+            if n >= self.floor and len(word) >= 2:
+                for form in misread_forms(word):
+                    if self.words.get(out.get(form, ""), 0) < n:
+                        out[form] = word
+        return out
+
     def printed(self, word: str) -> str | None:
         """The word of which ``word`` is a misreading, or nothing."""
         if word not in self.memo:
@@ -147,43 +176,49 @@ class ScanModel:
         return self.memo[word]
 
     def _printed(self, word: str) -> str | None:
-        count = self.words.get(word, 0)
         if len(word) < 3 or word.isdigit():
             return None
-        floor = max(RATIO * max(count, 1) * (self.least if count == 0 and self.least > 3 else 1), 6)
-        best, best_count = None, 0
-        once = _confused(word)
-        for v in once:
-            n = self.words.get(v, 0)
-            if n >= floor and n > best_count:
-                best, best_count = v, n
-        if best is None and len(word) >= 5:
-            for u in once:
-                for v in _confused(u):
-                    n = self.words.get(v, 0)
-                    if n >= 2 * floor and n > best_count and v != word:
-                        best, best_count = v, n
-        if best is None and not word.isascii() is False and sum(c.isalpha() for c in word) >= 3:
-            if any(c in DIGIT_IN_WORD for c in word) and not any(c.isdigit() and c not in DIGIT_IN_WORD for c in word):
-                return word.translate(str.maketrans("015689", "olsbbg"))
-        return best
+        floor = max(self.floor, RATIO * self.words.get(word, 0))
+        once = self.forms.get(word)
+        if once is not None and self.words[once] >= floor:
+            return once
+        if len(word) >= 5:
+            twice = [v for u in _confused(word) if (v := self.forms.get(u)) is not None and v != word and self.words[v] >= 2 * floor]
+            if twice:
+                return max(twice, key=self.words.__getitem__)
+        if word.isascii() and not DIGIT_IN_WORD.isdisjoint(word) and sum(map(str.isalpha, word)) >= 3:
+            if not any(c.isdigit() and c not in DIGIT_IN_WORD for c in word):
+                return word.translate(_read_digits)
+        return None
 
 
+_read_digits = str.maketrans("015689", "olsbbg")
 _by_read: dict[str, list[tuple[str, str]]] = defaultdict(list)
+_by_printed: dict[str, list[tuple[str, str]]] = defaultdict(list)
 for _read, _print in CONFUSIONS:
     _by_read[_read[0]].append((_read, _print))
+    _by_printed[_print[0]].append((_print, _read))
 
 
-def _confused(word: str) -> list[str]:
-    """Words that one confusion may have turned into ``word``."""
+def _replaced(word: str, table: dict[str, list[tuple[str, str]]]) -> list[str]:
     out = []
     for i, c in enumerate(word):
-        for read, printed in _by_read.get(c, ()):
-            if word.startswith(read, i):
-                out.append(word[:i] + printed + word[i + len(read) :])
+        for old, new in table.get(c, ()):
+            if word.startswith(old, i):
+                out.append(word[:i] + new + word[i + len(old) :])
     return out
 
 
+def _confused(word: str) -> list[str]:
+    """Words that one confusion may have turned into ``word``."""
+    return _replaced(word, _by_read)
+
+
+def misread_forms(word: str) -> list[str]:
+    """What one confusion makes of ``word``."""
+    return _replaced(word, _by_printed)
+
+
 def _join_cut(m: re.Match, words: dict[str, int]) -> str | None:
     """The word that a line end cuts, or nothing for a compound that ends a line at its own hyphen."""
     a, b = m.group(1), m.group(2)
@@ -193,11 +228,8 @@ def _join_cut(m: re.Match, words: dict[str, int]) -> str | None:
     return a + b
 
 
-_names = re.compile(r"^[A-ZÀ-Þ]")
-
-
-def repair(text: str | None, model: ScanModel) -> tuple[str | None, set[str]]:
-    """A text as continuous paragraphs, and the kinds of noise that were in it."""
+def repair(text: str | None, model: ScanModel, whole: bool = True) -> tuple[str | None, set[str]]:
+    """A text as continuous paragraphs, and the kinds of noise that were in it; without ``whole`` lines stay unjoined."""
     if not text or not text.strip():
         return text, set()
     found: set[str] = set()
@@ -233,21 +265,25 @@ def repair(text: str | None, model: ScanModel) -> tuple[str | None, set[str]]:
             break
         body = joined
 
-    def read(m: re.Match) -> str:
-        word = m.group()
-        low = word.lower()
-        if model.words.get(low, 0) > RATIO * RATIO * model.least:
-            return word
-        printed = model.printed(low)
-        if printed is None and "-" in low:
-            pieces = [model.printed(p) or p for p in low.split("-")]
-            printed = "-".join(pieces) if pieces != low.split("-") else None
-        if printed is None or (low.upper() == word and not word.isupper() is False and len(word) <= 4):
-            return word
+    fixes = {w: fixed for w in set(WORD.findall(body)) if (fixed := _reading(w, model)) is not None}
+    if fixes:
         found.add("misread")
-        return printed.capitalize() if word[0].isupper() else printed
+        body = WORD.sub(lambda m: fixes.get(m.group(), m.group()), body)
+    return (_paragraphs(body) if whole else body), found
+
 
-    return _paragraphs(WORD.sub(read, body)), found
+def _reading(word: str, model: ScanModel) -> str | None:
+    """The printed form of a misread word, with its capital, or nothing."""
+    low = word.lower()
+    if model.words.get(low, 0) > RATIO * RATIO * model.least:
+        return None
+    printed = model.printed(low)
+    if printed is None and "-" in low:
+        pieces = [model.printed(p) or p for p in low.split("-")]
+        printed = "-".join(pieces) if pieces != low.split("-") else None
+    if printed is None or (word.isupper() and len(word) <= 4):
+        return None
+    return printed.capitalize() if word[0].isupper() else printed
 
 
 def _interrupts(lines: list[str], i: int, typical: int) -> bool:
@@ -283,8 +319,8 @@ def _paragraphs(text: str) -> str:
             line = line.strip()
             if not line:
                 continue
-            bare = bool(_bare.match(line.translate(_digits)))
-            if lines and not bare and not _item.match(line) and not _bare.match(lines[-1].translate(_digits)) and not lines[-1].endswith(":") and not _numbered.match(_fold(lines[-1])):
+            bare = bool(_bare.match(_western(line)))
+            if lines and not bare and not _item.match(line) and not _bare.match(_western(lines[-1])) and not lines[-1].endswith(":") and not _numbered.match(_fold(lines[-1])):
                 lines[-1] = f"{lines[-1]} {line}"
             else:
                 lines.append(line)
@@ -370,7 +406,7 @@ def scan_noise(df: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("
             rows = [
                 (a, b, kind)
                 for text, a, b in zip(pdf["text"], pdf["a"], pdf["b"], strict=True)
-                for kind in sorted(repair(text, m)[1])
+                for kind in sorted(repair(text, m, whole=False)[1])
             ]
             yield pd.DataFrame(rows, columns=["a", "b", "noise"])
 
