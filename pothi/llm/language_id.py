@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pothi.llm.unicode_form import canonical, canonical_column
+from pothi.operators.sampling import hashed_sample
 
 # A few sentences of each language and script to begin with.
 SEEDS: dict[str, tuple[str, ...]] = {
@@ -225,13 +226,11 @@ def train(corpus: list[str]) -> LanguageModel:
     return LanguageModel(idf, np.concatenate(centroids).astype(np.float32), np.array(languages), np.array(least))
 
 
-def fit(df: DataFrame, text: str = "question", sample: int = SAMPLE) -> LanguageModel:
-    """Model for a corpus: the seeds and at most ``sample`` rows, those whose text has the least hashes."""
+def fit(df: DataFrame, text: str = "question", sample: int = SAMPLE, key: str | None = None) -> LanguageModel:
+    """Model for a corpus: the seeds and at most ``sample`` segments of the rows with the least hashes of key and text."""
+    known = df.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{key}`") if key else F.lit(0)).alias("key")).where(F.col("text").isNotNull())
     rows = (
-        df.select(F.col(f"`{text}`").alias("text"))
-        .where(F.col("text").isNotNull())
-        .orderBy(F.xxhash64("text"), "text")
-        .limit(sample // 2)
+        hashed_sample(known, F.xxhash64("key", "text"), sample // 2, "text", "key")
         .select(canonical_column(F.col("text")).alias("text"))
         .toPandas()
     )
@@ -289,7 +288,7 @@ def _records(model):
 
 def record_languages(df: DataFrame, key: str = "pair_id", text: str = "question", label: str = "language", model: LanguageModel | None = None) -> DataFrame:
     """Rows (key, language, confidence, rank, label_right): each language of each record, the one with most words first."""
-    model = model or fit(df, text)
+    model = model or fit(df, text, key=key)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
     return (
@@ -301,7 +300,7 @@ def record_languages(df: DataFrame, key: str = "pair_id", text: str = "question"
 
 def segment_languages(df: DataFrame, key: str = "pair_id", text: str = "question", model: LanguageModel | None = None) -> DataFrame:
     """Rows (key, position, segment, language, confidence) of every segment of every text."""
-    model = model or fit(df, text)
+    model = model or fit(df, text, key=key)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 

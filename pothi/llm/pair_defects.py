@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pothi.llm.language_id import SEEDS, LanguageModel, fit, of_record, segments, word_count
-from pothi.llm.language_id import FULL_SENTENCE
+from pothi.llm.language_id import FULL_SENTENCE, SEEDS, LanguageModel, fit, of_record, segments, word_count
 from pothi.llm.unicode_form import canonical
+from pothi.operators.sampling import hashed_sample
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 
@@ -383,16 +383,13 @@ def train(rows: list[tuple[str | None, str | None]], languages: LanguageModel, s
     return DefectModel(w, _calibrate(p, y[held]), languages)
 
 
-def fit_defects(df: DataFrame, question: str = "question", answer: str = "answer", sample: int = SAMPLE) -> DefectModel:
-    """Classifier for a corpus, fitted on the ``sample`` pairs with the least hashes."""
-    rows = (
-        df.select(F.col(f"`{question}`").alias("q"), F.col(f"`{answer}`").alias("a"))
-        .where("q is not null and a is not null")
-        .orderBy(F.xxhash64("q", "a"), "q", "a")
-        .limit(sample)
-        .toPandas()
-    )
-    return train(list(zip(rows["q"], rows["a"], strict=True)), fit(df, question))
+def fit_defects(df: DataFrame, question: str = "question", answer: str = "answer", sample: int = SAMPLE, key: str | None = None) -> DefectModel:
+    """Classifier for a corpus, fitted on the ``sample`` pairs with the least hashes of key and texts."""
+    known = df.select(
+        F.col(f"`{question}`").alias("q"), F.col(f"`{answer}`").alias("a"), (F.col(f"`{key}`") if key else F.lit(0)).alias("key")
+    ).where("q is not null and a is not null")
+    rows = hashed_sample(known, F.xxhash64("key", "q", "a"), sample, "q", "a", "key").toPandas()
+    return train(list(zip(rows["q"], rows["a"], strict=True)), fit(df, question, key=key))
 
 
 def find_defects(
@@ -405,7 +402,7 @@ def find_defects(
     model: DefectModel | None = None,
 ) -> DataFrame:
     """Rows (key, defect) of the defective pairs; keys delivered twice count once."""
-    model = model or fit_defects(df, question, answer)
+    model = model or fit_defects(df, question, answer, key=key)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 
