@@ -42,7 +42,7 @@ def fuse_scores(reranked: DataFrame, dense: DataFrame, lexical: DataFrame) -> Da
     b = lexical.groupBy(*keys).agg(F.max("score").alias("lexical_score"))
     score = (
         RERANK_SHARE * squashed(F.col("rerank_score"))
-        + DENSE_PART * F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dense_score"))), F.lit(0.0))
+        + DENSE_PART * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("dense_score", F.lit(0.0))))
         + LEXICAL_PART * F.coalesce(F.col("lexical_score"), F.lit(0.0))
     )
     return reranked.join(d, keys, "left").join(b, keys, "left").select(*keys, score.alias("score"))

@@ -27,6 +27,7 @@ class LexicalIndex:
     terms: DataFrame
     documents: DataFrame
     mean_length: float
+    floor: float
 
 
 def build_index(docs: DataFrame, key: str, text: str = "text", words=stemmed_tokens) -> LexicalIndex:
@@ -49,7 +50,7 @@ def build_index(docs: DataFrame, key: str, text: str = "text", words=stemmed_tok
     raw = materialise(raw, "terms")
     floor = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, documents.select("doc_id"), float(totals["mean"] or 0.0))
+    return LexicalIndex(postings, terms, documents.select("doc_id"), float(totals["mean"] or 0.0), float(floor))
 
 
 def score_of(tf: Column, length: Column, mean_length: float) -> Column:
@@ -73,10 +74,11 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, key: str, text: str, k: in
         .groupBy("query_id", "doc_id")
         .agg(F.sum("part").alias("score"))
     )
-    # At most k - 1 documents of a short ranking are taken, so one of the first 2k ids is free for each open place.
-    fill = index.documents.orderBy("doc_id").limit(2 * k)
-    padding = asked.select("query_id").join(F.broadcast(fill), F.lit(True)).withColumn("score", F.lit(0.0))
-    all_scores = scored.union(padding).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    # Fewer than k documents are found where a place is open, so one of the first 2k ids is free for it.  Only a
+    # floor below 0 (most terms in more than half of the documents) puts found documents behind all others.
+    fill = index.documents.orderBy("doc_id").limit(2 * k) if index.floor >= 0 else index.documents
+    padding = asked.select("query_id").join(fill, F.lit(True)).withColumn("score", F.lit(0.0))
+    all_scores = scored.union(padding).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
     return all_scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
 

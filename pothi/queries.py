@@ -354,7 +354,7 @@ WITH rr AS (SELECT r.query_id, r.chunk_id, 10.0 * CASE WHEN len(a) > 0 AND len(s
   JOIN (SELECT chunk_id, {sql_tokens('text')} AS s FROM {SQL_CHUNKS}) c ON c.chunk_id = r.chunk_id),
 d AS (SELECT query_id, chunk_id, max(score) AS s FROM rankings WHERE retriever <> 'bm25' GROUP BY 1, 2),
 b AS (SELECT query_id, chunk_id, max(score / greatest(m, 1e-9)) AS s FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM rankings WHERE retriever = 'bm25') GROUP BY 1, 2),
-fused AS (SELECT query_id, chunk_id, 0.5 / (1 + exp(-rerank_score / 5)) + 0.3 * coalesce(greatest(0, least(1, d.s)), 0) + 0.2 * coalesce(b.s, 0) AS score
+fused AS (SELECT query_id, chunk_id, 0.5 / (1 + exp(-rerank_score / 5)) + 0.3 * greatest(0, least(1, coalesce(d.s, 0))) + 0.2 * coalesce(b.s, 0) AS score
   FROM rr LEFT JOIN d USING (query_id, chunk_id) LEFT JOIN b USING (query_id, chunk_id))
 """
 
@@ -550,7 +550,7 @@ def parse_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT chunk_id, length(CASE WHEN language = 'bn' THEN {len(generation.QA_PROMPT_BN) - 8}  ELSE 0 END::VARCHAR) * 0 + CASE WHEN language = 'bn' THEN {len(generation.QA_PROMPT_BN) - 8} ELSE {len(generation.QA_PROMPT_EN) - 8} END
+    f"""SELECT chunk_id, CASE WHEN language = 'bn' THEN {len(generation.QA_PROMPT_BN) - 8} ELSE {len(generation.QA_PROMPT_EN) - 8} END
     + length(coalesce(class_num::VARCHAR, '')) + length(coalesce(subject, '')) + 1 + length(coalesce(text, '')) AS prompt_chars FROM {SQL_CHUNKS}"""
 )
 def prompt_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -649,9 +649,7 @@ def evaluation_summary_enhanced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"SELECT config_id, retriever, generator, prompt_type, language, token_f1, em FROM {SQL_SUMMARY}, LATERAL (VALUES ('bn', bn_f1, bn_em), ('en', en_f1, en_em)) v(language, token_f1, em)".replace("n, recall_at_1", "n, recall_at_1").replace(
-        "em, token_f1, hallucination_rate, bn_f1", "em AS em_all, token_f1 AS f1_all, hallucination_rate, bn_f1"
-    )
+    f"SELECT config_id, retriever, generator, prompt_type, v.language, v.token_f1, v.em FROM {SQL_SUMMARY} s, LATERAL (VALUES ('bn', s.bn_f1, s.bn_em), ('en', s.en_f1, s.en_em)) v(language, token_f1, em)"
 )
 def language_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     """The summary by language as rows."""
@@ -659,9 +657,7 @@ def language_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"SELECT config_id, retriever, generator, prompt_type, grade_band, token_f1 FROM {SQL_SUMMARY}, LATERAL (VALUES ('junior_sec', junior_sec_f1), ('ssc', ssc_f1)) v(grade_band, token_f1)".replace(
-        "em, token_f1, hallucination_rate, bn_f1", "em, token_f1 AS f1_all, hallucination_rate, bn_f1"
-    )
+    f"SELECT config_id, retriever, generator, prompt_type, v.grade_band, v.token_f1 FROM {SQL_SUMMARY} s, LATERAL (VALUES ('junior_sec', s.junior_sec_f1), ('ssc', s.ssc_f1)) v(grade_band, token_f1)"
 )
 def grade_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     """The summary by grade as rows."""
