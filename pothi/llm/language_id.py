@@ -219,10 +219,12 @@ def train(corpus: list[str]) -> LanguageModel:
     for n in names:
         own = np.concatenate(groups[n])
         c = _cluster(own, CENTROIDS, 1)
-        reach = np.max(own @ c.T, axis=1)
+        # How near a segment comes to the others of its language; its own share in the centroids would flatter it.
+        rest = own.sum(axis=0) - own
+        reach = np.einsum("ij,ij->i", own, rest) / np.maximum(np.linalg.norm(rest, axis=1), 1e-9)
         centroids.append(c)
         languages += [n.split("-")[0]] * len(c)
-        least += [0.6 * float(np.quantile(reach, 1 - KEPT))] * len(c)
+        least += [0.5 * float(np.quantile(reach, 1 - KEPT))] * len(c)
     return LanguageModel(idf, np.concatenate(centroids).astype(np.float32), np.array(languages), np.array(least))
 
 

@@ -57,17 +57,13 @@ def plan_counts(available: list[int], permille: list[float], floors: list[int],
     target = np.array([*(p * size / 1000 for p in permille), 0.0])
     start = float(np.abs(counts - target).sum())
     while True:
-        # What can leave a signature and what can enter one, each record lowering the deviation.
-        give = np.maximum(0, np.minimum(counts - floor, np.ceil(counts - target - 0.5).astype(np.int64)))
-        take = np.maximum(0, np.minimum(have - counts, np.ceil(target - counts - 0.5).astype(np.int64)))
+        # Whole records above and below the targets are exchanged together.
+        give = np.maximum(0, np.minimum(counts - floor, np.floor(counts - target + 1e-9).astype(np.int64)))
+        take = np.maximum(0, np.minimum(have - counts, np.floor(target - counts + 1e-9).astype(np.int64)))
         a, b = int(np.argmax(give)), int(np.argmax(take))
         moved = int(min(give[a], take[b]))
-        if not moved and take[b] > 0:
-            # Only signatures at their target are left to give; that may still lower the sum.
-            slack = np.where(counts > floor, counts - target, -np.inf)
-            a = int(np.argmax(slack))
-            gain = abs(counts[a] - target[a]) + abs(counts[b] - target[b]) - abs(counts[a] - 1 - target[a]) - abs(counts[b] + 1 - target[b])
-            moved = int(a != b and np.isfinite(slack[a]) and gain > 1e-9)
+        if not moved:
+            a, b, moved = _best_exchange(counts, floor, have, target)
         if not moved:
             break
         counts[a] -= moved
@@ -75,6 +71,20 @@ def plan_counts(available: list[int], permille: list[float], floors: list[int],
     return Plan(size, counts[:k].tolist(), int(counts[k]), start, float(np.abs(counts - target).sum()))
 
 
+def _best_exchange(counts: np.ndarray, floor: np.ndarray, have: np.ndarray, target: np.ndarray) -> tuple[int, int, int]:
+    """The single exchange (from, to, 1) that lowers the deviation most, or no exchange."""
+    now = np.abs(counts - target)
+    leave = np.where(counts > floor, now - np.abs(counts - 1 - target), -np.inf)
+    enter = np.where(counts < have, now - np.abs(counts + 1 - target), -np.inf)
+    best = (0, 0, 0)
+    gain = 1e-9
+    for a in np.argsort(-leave, kind="stable")[:2]:
+        for b in np.argsort(-enter, kind="stable")[:2]:
+            if a != b and leave[a] + enter[b] > gain:
+                gain, best = leave[a] + enter[b], (int(a), int(b), 1)
+    return best
+
+
 def _draw(rng: np.random.Generator, rest: np.ndarray, n: int) -> np.ndarray:
     """Signature counts of ``n`` records drawn without replacement."""
     out, left = np.zeros_like(rest), int(rest.sum())

@@ -132,8 +132,7 @@ def _own_script(run: re.Match) -> str:
     return word
 
 
-def canonical_word(word: str) -> str:
-    """The consistent form of a word, that is of text without white space."""
+def _step(word: str) -> str:
     word = _joiner.sub("", _drop.sub("", word))
     word = _widths.sub(lambda m: unicodedata.normalize("NFKC", m.group()), word)
     word = unicodedata.normalize("NFC", word)
@@ -141,6 +140,17 @@ def canonical_word(word: str) -> str:
     return unicodedata.normalize("NFC", _bengali.sub(lambda m: BENGALI_TWINS[m.group()], word))
 
 
+def canonical_word(word: str) -> str:
+    """The consistent form of a word, that is of text without white space.
+
+    What one rule makes may be subject to another, so the rules are applied
+    until nothing changes; each only removes, merges or maps into the form.
+    """
+    while (changed := _step(word)) != word:
+        word = changed
+    return word
+
+
 def canonical(text: str | None) -> str | None:
     """The consistent form of a text: unstable words rewritten, the rest spliced in unchanged."""
     if not text:
