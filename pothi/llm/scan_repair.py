@@ -62,7 +62,7 @@ _digits = str.maketrans("০১২৩৪৫৬৭৮৯", "0123456789")
 _letters = r"A-Za-zÀ-ɏ"
 _bengali = r"ঀ-৥ৰ-৿‌‍"
 WORD = re.compile(rf"[{_letters}0-9]+(?:-[{_letters}0-9]+)*|[{_bengali}]+(?:-[{_bengali}]+)*")
-_cut = re.compile(rf"([{_letters}{_bengali}]+(?:-[{_letters}{_bengali}]+)*)-[ \t]*\n[ \t]*([{_letters}{_bengali}]+(?:-[{_letters}{_bengali}]+)*)")
+_cut = re.compile(rf"(?<![{_letters}{_bengali}-])([{_letters}{_bengali}]+(?:-[{_letters}{_bengali}]+)*)-[ \t]*\n[ \t]*([{_letters}{_bengali}]+(?:-[{_letters}{_bengali}]+)*)")
 _page_mark = r"(?:(?:page|p\.|pg\.|পৃষ্ঠা|পৃ\.)\s*\d{1,4}|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}\s*\||\|\s*\d{1,4})"
 _page_line = re.compile(rf"^{_page_mark}$", re.IGNORECASE)
 _bare = re.compile(r"^\d{1,4}$")
@@ -156,6 +156,11 @@ class ScanModel:
         """Count from which a word can be what a word that the corpus does not know was printed as."""
         return max(RATIO * (self.least if self.least > 3 else 1), 6)
 
+    @cached_property
+    def longest(self) -> int:
+        """Length beyond which nothing can be a misreading of a known word."""
+        return max(map(len, self.words), default=0) + 2
+
     @cached_property
     def forms(self) -> dict[str, str]:
         """Each form that one confusion makes of a frequent word, with the most frequent such word."""
@@ -176,7 +181,7 @@ class ScanModel:
         return self.memo[word]
 
     def _printed(self, word: str) -> str | None:
-        if len(word) < 3 or word.isdigit():
+        if not 3 <= len(word) <= self.longest or word.isdigit():
             return None
         floor = max(self.floor, RATIO * self.words.get(word, 0))
         once = self.forms.get(word)
@@ -314,18 +319,20 @@ def _paragraphs(text: str) -> str:
     """Wrapped lines joined; blank lines, columns, lists and headings keep their breaks."""
     out: list[str] = []
     for block in re.split(r"\n[ \t]*\n+", text):
-        lines: list[str] = []
-        for line in block.split("\n"):
-            line = line.strip()
+        joined: list[list[str]] = []
+        closed = True
+        for line in map(str.strip, block.split("\n")):
             if not line:
                 continue
-            bare = bool(_bare.match(_western(line)))
-            if lines and not bare and not _item.match(line) and not _bare.match(_western(lines[-1])) and not lines[-1].endswith(":") and not _numbered.match(_fold(lines[-1])):
-                lines[-1] = f"{lines[-1]} {line}"
+            bare = bool(_bare.match(_western(line[:6])))
+            if closed or bare or _item.match(line):
+                joined.append([line])
             else:
-                lines.append(line)
-        if lines:
-            out.append("\n".join(lines))
+                joined[-1].append(line)
+            # Whether the next line begins a line of its own: after a number, a colon, or a heading.
+            closed = bare or line.endswith(":") or (len(joined[-1]) == 1 and len(line) <= LONGEST_EDGE and bool(_numbered.match(_fold(line))))
+        if joined:
+            out.append("\n".join(" ".join(lines) for lines in joined))
     return "\n\n".join(out)
 
 
