@@ -5,7 +5,7 @@ Nothing is rounded here; round when showing.  Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,8 +25,13 @@ def exact_match(predicted: Column, gold: Column) -> Column:
     return F.when(same, 1.0).otherwise(0.0)
 
 
-def shared_tokens(a: Column, b: Column) -> Column:
-    """Common elements of two arrays counted with repetition."""
+def bound(f: Callable[..., Column], *arguments: Column) -> Column:
+    """``f`` of columns that are evaluated once, however often ``f`` uses them inside lambdas."""
+    packed = F.struct(*(c.alias(f"_{i}") for i, c in enumerate(arguments)))
+    return F.transform(F.array(packed), lambda s: f(*(s[f"_{i}"] for i in range(len(arguments)))))[0]
+
+
+def _shared(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.array_intersect(a, b),
         F.lit(0),
@@ -34,6 +39,11 @@ def shared_tokens(a: Column, b: Column) -> Column:
     )
 
 
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Common elements of two arrays counted with repetition."""
+    return bound(_shared, a, b)
+
+
 def f1(common: Column, n_predicted: Column, n_gold: Column) -> Column:
     """Harmonic mean of precision and recall; 0 without common tokens."""
     return F.when(common > 0, 2.0 * common / (n_predicted + n_gold)).otherwise(F.lit(0.0))
@@ -44,8 +54,7 @@ def answer_tokens(c: Column) -> Column:
 
 
 def token_f1(predicted: Column, gold: Column) -> Column:
-    p, g = answer_tokens(predicted), answer_tokens(gold)
-    return f1(shared_tokens(p, g), F.size(p), F.size(g))
+    return bound(lambda p, g: f1(_shared(p, g), F.size(p), F.size(g)), answer_tokens(predicted), answer_tokens(gold))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -74,9 +83,17 @@ def rouge_l(predicted: Column, gold: Column) -> Column:
 
 def coverage(predicted: Column, passages: Column) -> Column:
     """Share of the distinct tokens of an answer that stand in any passage (array of texts)."""
-    p = F.array_distinct(answer_tokens(predicted))
-    seen = F.array_distinct(F.flatten(F.transform(F.coalesce(passages, F.array().cast("array<string>")), answer_tokens)))
-    return F.when(F.size(p) > 0, F.size(F.array_intersect(p, seen)) / F.size(p)).otherwise(F.lit(0.0))
+    texts = F.coalesce(passages, F.array().cast("array<string>"))
+    return coverage_by(predicted, F.flatten(F.transform(texts, answer_tokens)))
+
+
+def coverage_by(predicted: Column, seen: Column) -> Column:
+    """The same for passages that are tokens already; null counts as none."""
+
+    def share(p: Column, s: Column) -> Column:
+        return F.when(F.size(p) > 0, F.size(F.array_intersect(p, s)) / F.size(p)).otherwise(F.lit(0.0))
+
+    return bound(share, F.array_distinct(answer_tokens(predicted)), F.coalesce(seen, F.array().cast("array<string>")))
 
 
 def recall_at(ids: Column, gold: Column, k: int) -> Column:

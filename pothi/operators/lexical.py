@@ -7,12 +7,13 @@ without a query term scores 0 and fills the ranking up, the least id first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pothi.functions.text import expand_query, stemmed_tokens
+from pothi.functions.text import expand_query, stem, tokens
 from pothi.plans.store import materialise
 
 #: Parameters of the ranking function.
@@ -30,20 +31,25 @@ class LexicalIndex:
     floor: float
 
 
-def build_index(docs: DataFrame, key: str, text: str = "text", words=stemmed_tokens) -> LexicalIndex:
+def _terms(df: DataFrame, ids: list[str], words: Column, form: Callable[[Column], Column] | None, n: str) -> DataFrame:
+    """Rows (ids, term, n): how often each term occurs; words are counted first, so the form is taken once for each distinct word."""
+    counted = df.select(*ids, F.explode(words).alias("word")).groupBy(*ids, "word").agg(F.count("*").alias("n"))
+    if form is None:
+        return counted.select(*ids, F.col("word").alias("term"), F.col("n").alias(n))
+    return counted.select(*ids, form(F.col("word")).alias("term"), "n").groupBy(*ids, "term").agg(F.sum("n").alias(n))
+
+
+def build_index(docs: DataFrame, key: str, text: str = "text", form: Callable[[Column], Column] | None = stem) -> LexicalIndex:
     """Index of distinct keys; a key that comes twice counts with its first text, a null text has no words."""
     tokenised = (
         docs.where(F.col(f"`{key}`").isNotNull())
         .groupBy(F.col(f"`{key}`").alias("doc_id"))
         .agg(F.min(F.col(f"`{text}`")).alias("text"))
-        .select("doc_id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+        .select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
         .withColumn("length", F.size("words"))
     )
     documents = materialise(tokenised, "tokenised")
-    postings = materialise(
-        documents.select("doc_id", "length", F.explode("words").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf")),
-        "postings",
-    )
+    postings = materialise(_terms(documents, ["doc_id", "length"], F.col("words"), form, "tf"), "postings")
     totals = documents.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n = totals["n"]
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -57,7 +63,9 @@ def score_of(tf: Column, length: Column, mean_length: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length or 1.0)))
 
 
-def bm25_top(index: LexicalIndex, queries: DataFrame, key: str, text: str, k: int = 10, expand: bool = True) -> DataFrame:
+def bm25_top(
+    index: LexicalIndex, queries: DataFrame, key: str, text: str, k: int = 10, expand: bool = True, form: Callable[[Column], Column] | None = stem
+) -> DataFrame:
     """Rows (query_id, chunk_id, score, rank) of the k best documents of each query.
 
     Scores are compared at six decimals, so the order of summation does not
@@ -65,8 +73,8 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, key: str, text: str, k: in
     """
     q = F.col(f"`{text}`")
     asked = queries.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("query_id")).agg(F.min(q).alias("text"))
-    words = stemmed_tokens(expand_query(F.col("text")) if expand else F.col("text"))
-    per_term = asked.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    words = tokens(expand_query(F.col("text")) if expand else F.col("text"))
+    per_term = _terms(asked, ["query_id"], words, form, "times")
     weighted = per_term.join(index.terms.select("term", "idf"), "term")
     scored = (
         weighted.join(index.postings, "term")

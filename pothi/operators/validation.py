@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pothi.functions.metrics import bound
 from pothi.functions.text import _nfc, strip, tokens
 from pothi.plugins import Detector, Generator
 
@@ -22,9 +23,12 @@ VERIFY_PROMPT = "Question: %s\nAnswer: %s\nSource: %s\nReply PASS if the source
 
 def overlap(answer: Column, source: Column) -> Column:
     """Share of the words of an answer, with repetition, that stand in the source; 0 when either is empty."""
-    a, s = tokens(F.coalesce(answer, F.lit(""))), tokens(F.coalesce(source, F.lit("")))
-    inside = F.size(F.filter(a, lambda x: F.array_contains(s, x)))
-    return F.when((F.size(a) > 0) & (F.size(s) > 0), inside / F.size(a)).otherwise(F.lit(0.0))
+
+    def share(a: Column, s: Column) -> Column:
+        inside = F.size(F.filter(a, lambda x: F.array_contains(s, x)))
+        return F.when((F.size(a) > 0) & (F.size(s) > 0), inside / F.size(a)).otherwise(F.lit(0.0))
+
+    return bound(share, tokens(F.coalesce(answer, F.lit(""))), tokens(F.coalesce(source, F.lit(""))))
 
 
 def structure_reason(question: Column, answer: Column, evidence: Column) -> Column:

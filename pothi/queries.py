@@ -608,9 +608,11 @@ def passage_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Share of an answer's tokens that its retrieved chunks hold."""
     p = predictions(spark, folder).select("config_id", "pair_id", "predicted", "retrieved_ids")
     each = p.select("config_id", "pair_id", F.explode(F.array_distinct("retrieved_ids")).alias("chunk_id"))
-    shown = each.join(chunks(spark, folder).select("chunk_id", "text"), "chunk_id").groupBy("config_id", "pair_id").agg(F.collect_list("text").alias("passages"))
+    # Each chunk is tokenised once, however many answers retrieved it.
+    words = chunks(spark, folder).select("chunk_id", F.array_distinct(metrics.answer_tokens(F.col("text"))).alias("words"))
+    shown = each.join(words, "chunk_id").groupBy("config_id", "pair_id").agg(F.flatten(F.collect_list("words")).alias("seen"))
     joined = p.join(shown, ["config_id", "pair_id"], "left")
-    return rounded(joined.select("config_id", "pair_id", metrics.coverage(F.col("predicted"), F.col("passages")).alias("coverage")))
+    return rounded(joined.select("config_id", "pair_id", metrics.coverage_by(F.col("predicted"), F.col("seen")).alias("coverage")))
 
 
 def sql_mean(c: str, name: str, where: str = "") -> str:

@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from pothi.functions.text import tokens
 from pothi.operators import dense, fusion, lexical
 from pothi.plugins import HashingEmbedder, OverlapScorer
 
@@ -12,8 +11,8 @@ from pothi.plugins import HashingEmbedder, OverlapScorer
 def ranking(spark, docs, queries, k):
     d = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
     q = spark.createDataFrame(list(enumerate(queries)), "id long, text string")
-    index = lexical.build_index(d, "id", words=tokens)
-    rows = lexical.bm25_top(index, q, "id", "text", k, expand=False).orderBy("query_id", "rank").collect()
+    index = lexical.build_index(d, "id", form=None)
+    rows = lexical.bm25_top(index, q, "id", "text", k, expand=False, form=None).orderBy("query_id", "rank").collect()
     return [[(r["chunk_id"], r["score"]) for r in rows if r["query_id"] == i] for i in range(len(queries))]
 
 
