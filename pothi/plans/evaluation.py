@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pothi.functions.metrics import ci95, exact_match, grounding_flag, mean, mean_where, recall_at, rouge_l, standard_deviation, token_f1
 from pothi.functions.text import QUERY_PREFIX, normal_form
+from pothi.plans.configuration import each_of
 from pothi.plugins import Embedder, Generator, PairScorer
 
 DEPTHS = (1, 3, 5, 10)
@@ -140,8 +141,8 @@ def present_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def configuration_runs(configs: DataFrame, tests: DataFrame) -> DataFrame:
-    """Every configuration with every test item; configurations are a handful of rows."""
-    return tests.join(F.broadcast(configs.limit(10_000)), F.lit(True))
+    """Every configuration with every test item."""
+    return each_of(tests, configs)
 
 
 def missing_runs(runs: DataFrame, done: DataFrame) -> DataFrame:
