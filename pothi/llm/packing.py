@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pothi.plans.configuration import each_of
 from pothi.plans.store import materialise
 
 Pattern = tuple[tuple[int, int], ...]
@@ -186,9 +187,7 @@ def pack(sized: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "t
         .distinct()
     )
     texts = sized.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("total"))
-    # The packs are a handful of rows of a configuration table; each text meets each of them.
-    each = texts.join(F.broadcast(packs.limit(1000)), F.lit(True))
-    cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / F.col("capacity")) - 1).cast("int"))))
+    cut = each_of(texts, packs).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / F.col("capacity")) - 1).cast("int"))))
     items = materialise(
         cut.select(
             "pack_name", "capacity", "key", "piece",
