@@ -13,9 +13,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,4 +39,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pothi/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_clear)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear() -> None:
+    """Remove what this driver wrote, when it ends with its session still open."""
+    context = SparkContext._active_spark_context
+    try:
+        for path in _written if context is not None else ():
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001, S110 - the gateway may be gone already
+        pass
