@@ -90,9 +90,8 @@ FUNCTION_WORDS = frozenset(
     " le la les un une des du de et est dans que qui pour avec el los las y en con por para del al es una"
     " er ekti ar diye theke kore".split()
 )
-_digits = str.maketrans("০১২৩৪৫৬৭৮৯٠١٢٣٤٥٦٧٨٩०१२३४५६७८९", "0123456789" * 3)
 _numbers = re.compile(r"\d+")
-_blanks = re.compile(r"[^\S\n]+")
+_blanks = re.compile(r"[^\S\n ]+| {2,}")
 _lines = re.compile(r"\n+")
 _sentences = re.compile(r"(?<=[.?!।])\s+")
 _latin_words = re.compile(r"[a-zà-öø-ɏ]+")
@@ -104,8 +103,8 @@ RUN_WORDS, REPEATS = 6, 8
 
 
 def folded(text: str) -> str:
-    """Lower case, western digits, each number as 0, blanks single."""
-    return _blanks.sub(" ", _numbers.sub("0", text.translate(_digits).lower()))
+    """Lower case, each number in whatever digits as 0, blanks single."""
+    return _blanks.sub(" ", _numbers.sub("0", text.lower()))
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -181,10 +180,9 @@ def residue_kind(text: str | None, machine: ahocorasick.Automaton) -> str | None
         for passage in _sentences.split(line):
             if place and unfilled(passage):
                 return "place"
-            plain = folded(passage)
-            if phrase and covered(plain, machine):
+            if phrase and covered(folded(passage), machine):
                 return "message"
-            if _wordless(plain):
+            if _wordless(passage.lower()):
                 return "filler"
     return None
 
