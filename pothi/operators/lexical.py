@@ -3,6 +3,13 @@
 The index is a table of postings (term, document, tf) with the length of the
 document; queries are exploded into terms with their multiplicity.  A document
 without a query term scores 0 and fills the ranking up, the least id first.
+
+Frequent terms would meet every query with a large part of the corpus.  Queries
+are therefore scored by their rarer terms first; the k-th best of these scores
+is a lower bound, and what the frequent terms of a query can add at most is an
+upper one.  Only documents between the two look their frequent terms up, and
+only a query whose rarer terms do not decide meets the postings of its frequent
+ones.  The ranking is the exact one.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     documents: DataFrame
+    n: int
     mean_length: float
     floor: float
 
@@ -56,7 +64,7 @@ def build_index(docs: DataFrame, key: str, text: str = "text", form: Callable[[C
     raw = materialise(raw, "terms")
     floor = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, documents.select("doc_id"), float(totals["mean"] or 0.0), float(floor))
+    return LexicalIndex(postings, terms, documents.select("doc_id"), n, float(totals["mean"] or 0.0), float(floor))
 
 
 def score_of(tf: Column, length: Column, mean_length: float) -> Column:
@@ -64,24 +72,28 @@ def score_of(tf: Column, length: Column, mean_length: float) -> Column:
 
 
 def bm25_top(
-    index: LexicalIndex, queries: DataFrame, key: str, text: str, k: int = 10, expand: bool = True, form: Callable[[Column], Column] | None = stem
+    index: LexicalIndex,
+    queries: DataFrame,
+    key: str,
+    text: str,
+    k: int = 10,
+    expand: bool = True,
+    form: Callable[[Column], Column] | None = stem,
+    frequent: int | None = None,
 ) -> DataFrame:
     """Rows (query_id, chunk_id, score, rank) of the k best documents of each query.
 
     Scores are compared at six decimals, so the order of summation does not
-    decide between equal documents; then the least id comes first.
+    decide between equal documents; then the least id comes first.  Terms in
+    more than ``frequent`` documents (a tenth of all, if not given) are
+    looked up only where they can matter.
     """
     q = F.col(f"`{text}`")
     asked = queries.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("query_id")).agg(F.min(q).alias("text"))
     words = tokens(expand_query(F.col("text")) if expand else F.col("text"))
     per_term = _terms(asked, ["query_id"], words, form, "times")
-    weighted = per_term.join(index.terms.select("term", "idf"), "term")
-    scored = (
-        weighted.join(index.postings, "term")
-        .withColumn("part", F.col("times") * F.col("idf") * score_of(F.col("tf"), F.col("length"), index.mean_length))
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum("part").alias("score"))
-    )
+    weighted = materialise(per_term.join(index.terms, "term"), "asked")
+    scored = _scores(index, weighted, k, max(64, index.n // 10) if frequent is None else frequent)
     # Fewer than k documents are found where a place is open, so one of the first 2k ids is free for it.  Only a
     # floor below 0 (most terms in more than half of the documents) puts found documents behind all others.
     fill = index.documents.orderBy("doc_id").limit(2 * k) if index.floor >= 0 else index.documents
@@ -91,6 +103,34 @@ def bm25_top(
     return all_scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
 
 
+def _sums(parts: DataFrame, index: LexicalIndex) -> DataFrame:
+    """Rows (query_id, doc_id, score) of rows (query_id, doc_id, times, idf, tf, length)."""
+    part = F.col("times") * F.col("idf") * score_of(F.col("tf"), F.col("length"), index.mean_length)
+    return parts.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def _scores(index: LexicalIndex, weighted: DataFrame, k: int, limit: int) -> DataFrame:
+    """Scores of all documents that can be among the k best of a query, from rows (query_id, term, times, df, idf)."""
+    if index.floor < 0:
+        # A term may take from a score, so partial scores bound nothing.
+        return _sums(weighted.join(index.postings, "term"), index)
+    often = weighted.where(F.col("df") > limit)
+    rare = materialise(_sums(weighted.where(F.col("df") <= limit).join(index.postings, "term"), index), "rare")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    reached = rare.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("reached"))
+    bounds = often.groupBy("query_id").agg(F.sum(F.col("times") * F.col("idf") * (K1 + 1)).alias("more"))
+    bounds = materialise(bounds.join(reached, "query_id", "left").fillna(0.0, ["reached"]), "bounds")
+    undecided = F.col("more") >= F.col("reached") - 1e-5
+    # Rare terms do not decide: the frequent ones meet their postings.
+    late = often.join(bounds.where(undecided).select("query_id"), "query_id", "left_semi").join(index.postings, "term")
+    # They do: only documents within reach look them up.
+    near = rare.join(bounds.where(~undecided), "query_id").where(F.col("score") + F.col("more") >= F.col("reached") - 1e-5)
+    looked_up = near.select("query_id", "doc_id").join(often, "query_id").join(index.postings, ["term", "doc_id"])
+    columns = ["query_id", "doc_id", "times", "idf", "tf", "length"]
+    added = _sums(late.select(*columns).union(looked_up.select(*columns)), index)
+    return rare.union(added).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def normalised(ranking: DataFrame) -> DataFrame:
     """Scores by the best score of their query, which counts as 1e-9 at least."""
     best = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1e-9))

@@ -2,17 +2,18 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pothi.operators import dense, fusion, lexical
 from pothi.plugins import HashingEmbedder, OverlapScorer
 
 
-def ranking(spark, docs, queries, k):
+def ranking(spark, docs, queries, k, frequent=None):
     d = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
     q = spark.createDataFrame(list(enumerate(queries)), "id long, text string")
     index = lexical.build_index(d, "id", form=None)
-    rows = lexical.bm25_top(index, q, "id", "text", k, expand=False, form=None).orderBy("query_id", "rank").collect()
+    rows = lexical.bm25_top(index, q, "id", "text", k, expand=False, form=None, frequent=frequent).orderBy("query_id", "rank").collect()
     return [[(r["chunk_id"], r["score"]) for r in rows if r["query_id"] == i] for i in range(len(queries))]
 
 
@@ -42,6 +43,28 @@ def test_bm25_against_formula(spark):
         assert [i for i, _ in got] == order
 
 
+@pytest.mark.parametrize("frequent", [None, 1, 4, 12])
+def test_frequent_terms_change_nothing(spark, frequent):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    chance = 1 / np.arange(1, 301)
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=chance / chance.sum()))
+    docs, queries = [draw(rng.integers(3, 25)) for _ in range(120)], [draw(5) for _ in range(25)]
+    bags, mean = [Counter(d.split()) for d in docs], np.mean([len(d.split()) for d in docs])
+    df = Counter(w for b in bags for w in b)
+    raw = {w: math.log(120 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    floor = 0.25 * np.mean(list(raw.values()))
+    assert floor > 0
+    for q, got in zip(queries, ranking(spark, docs, queries, 6, frequent), strict=True):
+        score = [
+            sum((raw[w] if raw.get(w, 0) >= 0 else floor) * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in q.split() if w in raw)
+            for b in bags
+        ]
+        order = sorted(range(120), key=lambda i: (-round(score[i], 6), i))[:6]
+        assert [i for i, _ in got] == order
+        assert all(abs(s - score[i]) < 1e-9 for i, s in got)
+
+
 def test_dense_and_inverted_file(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
