@@ -21,7 +21,7 @@ What remains is joined into paragraphs; columns and lists keep their lines.
 
 The vocabulary kept in memory is bounded: a word must stand in a share of
 ``1 / VOCABULARY_SHARE`` of all texts, so there are at most that many times the
-mean number of words of a text.
+mean number of words of a text; the same holds for parts of lines.
 
 Defined results: null stays null; empty and blank texts have no noise and stay;
 texts are read whole; equal texts are repaired once and alike.
@@ -44,6 +44,8 @@ from pothi.plans.store import materialise
 
 KINDS = ("hyphen", "misread", "header", "page_no")
 VOCABULARY_SHARE = 20_000
+#: What is printed on pages stands in one of so many texts at least; lines of wrapped text that happen to be equal do not.
+EDGE_SHARE = 3_000
 #: A word is a misreading of one that is so many times as frequent.
 RATIO = 15
 
@@ -142,7 +144,7 @@ class ScanModel:
     def repeated(self, part: str) -> bool:
         """Whether a folded part repeats across pages and does not begin texts, as headings do."""
         n, first = self.edges.get(part, (0, 0))
-        return n >= self.least and 2 * first < n
+        return n >= max(3, self.texts // EDGE_SHARE) and 2 * first < n
 
     def heading(self, parts: list[str]) -> bool:
         """Whether the numbered beginning of a line is that of headings, which begin texts."""
@@ -394,7 +396,7 @@ def fit_scan(texts: DataFrame) -> ScanModel:
         .agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
     )
     n = pages.count()
-    least = max(2, n // VOCABULARY_SHARE)
+    least = F.when(F.col("kind") == "w", max(2, n // VOCABULARY_SHARE)).otherwise(max(2, n // EDGE_SHARE))
     rows = counted.where(F.col("n") >= least).collect()
     words = {r["item"]: r["n"] for r in rows if r["kind"] == "w"}
     edges = {r["item"]: (r["n"], r["first"]) for r in rows if r["kind"] == "e"}
