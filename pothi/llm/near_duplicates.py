@@ -10,10 +10,11 @@
    the others, so a bucket of m records costs m - 1 candidates.  Stars are first
    built inside each batch and only their hubs are shuffled, so a bucket that
    holds a third of all rows reaches a reducer as one row per batch.
-4. Candidates are verified exactly.  Two records of one bucket that are alike
-   lie, by the triangle inequality of the Jaccard distance, within t and 2t of
-   their hub (t = 1/3), so the pairs that the stars leave out are searched only
-   between the near and the half-near neighbours of a hub, and verified too.
+4. Candidates are verified exactly.  Where one of two alike records of a bucket
+   lies within t = 1/3 of the hub, the other lies, by the triangle inequality of
+   the Jaccard distance, within 2t, so these pairs are searched between the near
+   and the half-near neighbours of a hub.  The records of a bucket beyond t of
+   its hub are compared with each other.  All of these pairs are verified too.
 
 Copies (equal bags) count as pairs as well.  A class of more than
 ``copies_listed`` copies is linked to its representative (its least id) and
@@ -121,7 +122,7 @@ def _priority(ids: np.ndarray, seed: int) -> np.ndarray:
 def _local_stars(banding: Banding):
     """Band keys of a batch; buckets inside the batch become stars at once, and only hubs keep their key.
 
-    Rows are bucket entries (key, hub, its priority) or finished edges (hub, other).
+    Rows are bucket entries (key, hub, its priority) or local edges (key, hub, other).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,8 +143,7 @@ def _local_stars(banding: Banding):
             hub = rank[np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))]
             yield pd.DataFrame({"key": flat[head], "hub": ids[rank[head]], "other": priority[rank[head]], "local": False})
             if not head.all():
-                edges = np.unique(np.stack([ids[hub[~head]], ids[rank[~head]]], 1), axis=0)
-                yield pd.DataFrame({"key": 0, "hub": edges[:, 0], "other": edges[:, 1], "local": True})
+                yield pd.DataFrame({"key": flat[~head], "hub": ids[hub[~head]], "other": ids[rank[~head]], "local": True})
 
     return run
 
@@ -162,32 +162,86 @@ def _stream_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last_hub = key[-1], hub[-1]
         away = hub != ids
         if away.any():
-            yield pd.DataFrame({"hub": hub[away], "other": ids[away]})
+            yield pd.DataFrame({"key": key[away], "hub": hub[away], "other": ids[away]})
 
 
-def star_edges(representatives: DataFrame, banding: Banding) -> DataFrame:
-    """Distinct candidate edges (hub, other) of the buckets of all bands, from rows (id, words)."""
-    stars = materialise(
+def stars(representatives: DataFrame, banding: Banding) -> DataFrame:
+    """Every record that shares a bucket with the bucket's hub, as rows (key, hub, other), from rows (id, words)."""
+    built = materialise(
         representatives.select("id", "words").mapInPandas(
             _local_stars(banding), "key long, hub long, other long, local boolean"
         ),
         "bands",
     )
     shuffled = (
-        stars.where(~F.col("local"))
+        built.where(~F.col("local"))
         .select("key", "hub", "other")
         .repartition("key")
         .sortWithinPartitions("key", "other")
-        .mapInPandas(_stream_stars, "hub long, other long")
-        .distinct()
+        .mapInPandas(_stream_stars, "key long, hub long, other long")
     )
     shuffled = materialise(shuffled, "hubs")
-    local = stars.where("local").select("hub", "other").distinct()
-    # A record that a batch tied to its own hub is also tied to the hubs of that hub.
-    lifted = local.withColumnRenamed("hub", "other_hub").join(
-        shuffled.select("hub", F.col("other").alias("other_hub")), "other_hub"
+    # A record that a batch tied to its own hub belongs to the hub of that hub in the same bucket.
+    lifted = (
+        built.where("local")
+        .select("key", F.col("hub").alias("own"), "other")
+        .join(shuffled.withColumnRenamed("other", "own"), ["key", "own"], "left")
+        .select("key", F.coalesce("hub", "own").alias("hub"), "other")
+    )
+    return materialise(shuffled.union(lifted), "entries")
+
+
+#: Number of 64-bit maps of the words of a record.
+MAPS = 4
+
+
+def word_maps(words: str) -> dict[str, F.Column]:
+    """Bit maps of the words of a record: each word sets one of 64 bits of one of the maps."""
+    one = F.lit(1).cast("long")
+
+    def bits(j: int) -> F.Column:
+        def add(s: F.Column, w: F.Column) -> F.Column:
+            return F.when(F.shiftright(w, 6).bitwiseAND(MAPS - 1) == j, s.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int")))).otherwise(s)
+
+        return F.aggregate(words, F.lit(0).cast("long"), add)
+
+    return {f"map{j}": bits(j) for j in range(MAPS)}
+
+
+def far_pairs(far: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) whose similarity may reach ``least``, of records beyond t of the hub of a bucket.
+
+    Rows are (key, x, dx, n, maps).  All tests are exact, so no pair is lost: the
+    distances to the hub of two records alike differ by t at most, and a bit
+    that only one of two records sets stands for a word that the other lacks.
+    Large buckets are split into cells, so that their pairs are met in many
+    tasks.
+    """
+    t = 1 - least / (2 - least)
+    maps = [f"map{j}" for j in range(MAPS)]
+    several = far.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    cells = materialise(
+        far.join(several, "key")
+        .withColumn("cells", F.ceil(F.col("m") / 256))
+        .withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")))
+        .drop("m"),
+        "cells",
+    )
+    left = cells.withColumn("other", F.explode(F.sequence("cell", F.col("cells") - 1))).drop("cells")
+    right = cells.drop("cells").withColumnsRenamed({"x": "y", "dx": "dy", "n": "ny", "cell": "other"} | {c: f"{c}y" for c in maps})
+
+    def alone(one: str, other: str) -> F.Column:
+        return sum((F.bit_count(F.col(c + one).bitwiseAND(F.bitwise_not(c + other))) for c in maps), F.lit(0))
+
+    common = F.least(F.col("n") - alone("", "y"), F.col("ny") - alone("y", ""))
+    return (
+        left.join(right, ["key", "other"])
+        .where((F.col("cell") < F.col("other")) | (F.col("x") < F.col("y")))
+        .where(F.abs(F.col("dx") - F.col("dy")) <= t + 1e-9)
+        .where(2 * common >= least * (F.col("n") + F.col("ny")) - 1e-9)
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
     )
-    return local.union(shuffled).union(lifted.select("hub", "other").where("hub != other")).distinct()
 
 
 def with_words(pairs: DataFrame, representatives: DataFrame, a: str, b: str) -> DataFrame:
@@ -206,30 +260,38 @@ def classes(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     representatives = members.groupBy("bag").agg(
         F.min_by(F.struct("id", "words"), "id").alias("r"), F.count("*").alias("copies")
     )
-    return members.select("id", "bag"), representatives.select("r.id", "bag", "r.words", "copies")
+    return members.select("id", "bag"), representatives.select("r.id", "bag", "r.words", "copies", *(c.alias(n) for n, c in word_maps("r.words").items()))
 
 
 def similar_representatives(representatives: DataFrame, least: float, banding: Banding) -> DataFrame:
     """All pairs (a, b, similarity) of representatives with similarity of ``least`` or more, a < b."""
     t = 1 - least / (2 - least)  # distance of Jaccard at the threshold
-    scored = materialise(
-        with_words(star_edges(representatives, banding), representatives, "hub", "other")
-        .select("hub", "other", dice().alias("similarity"))
-        .withColumn("distance", 1 - F.col("similarity") / (2 - F.col("similarity")))
-        .where(F.col("distance") <= 2 * t + 1e-9),
+    entries = stars(representatives, banding)
+    maps = [f"map{j}" for j in range(MAPS)]
+    measured = materialise(
+        entries.select("hub", "other").distinct()
+        .join(representatives.select(F.col("id").alias("hub"), F.col("words").alias("a_words")), "hub")
+        .join(representatives.select(F.col("id").alias("other"), F.col("words").alias("b_words"), *maps), "other")
+        .select("hub", "other", dice().alias("similarity"), F.size("b_words").alias("n"), *maps)
+        .withColumn("distance", 1 - F.col("similarity") / (2 - F.col("similarity"))),
         "stars",
     )
+    scored = measured.where(F.col("distance") <= 2 * t + 1e-9)
     ordered = scored.where(F.col("similarity") >= least).select(
         F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "similarity"
     )
     near = scored.where(F.col("distance") <= t + 1e-9).select("hub", F.col("other").alias("x"), F.col("distance").alias("dx"))
     around = scored.select("hub", F.col("other").alias("y"), F.col("distance").alias("dy"))
-    # Pairs around one hub; of two near ones each pair is met once, and the triangle inequality rules out the rest.
+    far = entries.join(measured.where(F.col("distance") > t + 1e-9), ["hub", "other"]).select(
+        "key", F.col("other").alias("x"), F.col("distance").alias("dx"), "n", *maps
+    )
+    # Pairs around one hub of which one or both are near it, each met once, and the pairs of those that are not.
     open_pairs = (
         near.join(around, "hub")
         .where((F.col("x") != F.col("y")) & ((F.col("dy") > t + 1e-9) | (F.col("x") < F.col("y"))))
         .where(F.abs(F.col("dx") - F.col("dy")) <= t + 1e-9)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .union(far_pairs(far, least))
         .distinct()
         .join(ordered.select("a", "b"), ["a", "b"], "left_anti")
     )

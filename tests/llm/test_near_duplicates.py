@@ -71,6 +71,25 @@ def test_small_batches_lose_nothing(spark):
     assert got == {(i, j) for j in range(200) for i in range(j) if similarity(records[i], records[j]) >= 0.8}
 
 
+def test_pairs_far_from_every_hub(spark):
+    """A family with a common frame (J = 0.644) in which only the two records of a cluster are alike (J = 2/3)."""
+    frame_words = " ".join(f"f{i}" for i in range(47))
+    records = [(f"{frame_words} c{c} " + " ".join(f"own{c}y{k}x{i}" for i in range(12)), None) for c in range(80) for k in range(2)]
+    rng = random.Random(5)
+    rng.shuffle(records)
+    df, _ = frame(spark, records)
+    want = {(i, j) for j in range(len(records)) for i in range(j) if similarity(records[i], records[j]) >= 0.8}
+    assert len(want) == 80
+    got = [(r["a"], r["b"]) for r in near_duplicate_pairs(df).select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r["a"], r["b"]) for r in near_duplicate_pairs(df).select("a", "b").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_copies_edits_and_nulls(spark):
     rows = [
         (1, "Ａ b c d e f g h i j?", "k l m n"), (2, "a B c d e f g h i j", "k, l m n."), (3, "a b c d e f g h i x", "k l m n"), (3, "a b c d e f g h i x", "k l m n"),
