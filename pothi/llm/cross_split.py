@@ -71,23 +71,10 @@ def _keys(bands: MinwiseBands, name: str):
     return run
 
 
-def cross_split_pairs(
-    df: DataFrame,
-    key: str = "pair_id",
-    question: str = "question",
-    answer: str = "answer",
-    split: str = "split",
-    train: str = "train",
-    least: float = 0.8,
-    bands: MinwiseBands | None = None,
-    copies_listed: int = 1000,
-) -> DataFrame:
-    """Pairs (a, b, similarity, split, a < b) of which exactly one stands in train; ``split`` is that of the other.
-
-    A class of more than ``copies_listed`` copies on one side is named by its
-    least id only.
-    """
-    bands = bands or MinwiseBands()
+def _links(
+    df: DataFrame, key: str, question: str, answer: str, split: str, train: str, least: float, bands: MinwiseBands
+) -> tuple[DataFrame, DataFrame]:
+    """Links (e, t, similarity) of classes, named by their least ids, and members (rep, id, train, split, copies)."""
     prepared = bags(df.where(F.col(f"`{split}`").isNotNull()), key, question, answer, {split: T.StringType()})
     members = materialise(
         prepared.where("n > 0")
@@ -119,20 +106,71 @@ def cross_split_pairs(
     copied = members.select("id", "bag", "train", "split").join(
         sides.select("bag", "train", F.col("id").alias("rep"), "copies"), ["bag", "train"]
     )
-    listed = copied.where((F.col("copies") <= copies_listed) | (F.col("id") == F.col("rep")))
-    return (
-        links.join(listed.where(~F.col("train")).select(F.col("rep").alias("e"), F.col("id").alias("x"), "split"), "e")
-        .join(listed.where("train").select(F.col("rep").alias("t"), F.col("id").alias("y")), "t")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity", "split", F.col("x").alias("held_out"))
+    return materialise(links, "links"), materialise(copied.select("rep", "id", "train", "split", "copies"), "copied")
+
+
+def cross_split_pairs(
+    df: DataFrame,
+    key: str = "pair_id",
+    question: str = "question",
+    answer: str = "answer",
+    split: str = "split",
+    train: str = "train",
+    least: float = 0.8,
+    bands: MinwiseBands | None = None,
+    copies_listed: int = 1000,
+) -> DataFrame:
+    """Pairs (a, b, similarity, split, a < b) of which exactly one stands in train; ``split`` is that of the other.
+
+    A class of more than ``copies_listed`` copies on one side is not expanded
+    into all pairs: its least id stands for it, and each of its other copies is
+    linked to the least id of every class that is like it on the other side.
+    """
+    links, copied = _links(df, key, question, answer, split, train, least, bands or MinwiseBands())
+    listed = (F.col("copies") <= copies_listed) | (F.col("id") == F.col("rep"))
+    held = copied.where(~F.col("train")).select(F.col("rep").alias("e"), F.col("id").alias("x"), "split", listed.alias("x_listed"))
+    trained = copied.where("train").select(F.col("rep").alias("t"), F.col("id").alias("y"), listed.alias("y_listed"))
+    # Copies of a large class meet the other side by its least id only.
+    every = links.join(held.where("x_listed"), "e").join(trained.where("y_listed"), "t").select("x", "y", "similarity", "split")
+    held_out = links.join(held.where(~F.col("x_listed")), "e").select("x", F.col("t").alias("y"), "similarity", "split")
+    in_train = (
+        links.join(trained.where(~F.col("y_listed")), "t")
+        .join(held.where(F.col("x") == F.col("e")), "e")
+        .select("x", "y", "similarity", "split")
     )
+    return every.union(held_out).union(in_train).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity", "split", F.col("x").alias("held_out")
+    )
+
 
+def overlap_report(
+    df: DataFrame,
+    key: str = "pair_id",
+    question: str = "question",
+    answer: str = "answer",
+    split: str = "split",
+    source: str = "source",
+    train: str = "train",
+    least: float = 0.8,
+    bands: MinwiseBands | None = None,
+) -> DataFrame:
+    """Counts of overlapping pairs and held-out records by split and source of the held-out record; a null source is its own group.
 
-def overlap_report(df: DataFrame, key: str = "pair_id", split: str = "split", source: str = "source", **options) -> DataFrame:
-    """Counts of overlapping pairs and held-out records by split and source of the held-out record; a null source is its own group."""
-    pairs = cross_split_pairs(df, key=key, split=split, **options)
-    origin = df.groupBy(F.col(f"`{key}`").alias("held_out")).agg(F.min(F.col(f"`{source}`")).alias("source"))
+    Counted from the membership of classes, so no class is too large to count.
+    """
+    links, copied = _links(df, key, question, answer, split, train, least, bands or MinwiseBands())
+    sizes = copied.where(F.col("train") & (F.col("id") == F.col("rep"))).select(F.col("rep").alias("t"), "copies")
+    partners = (
+        links.join(sizes, "t")
+        .groupBy(F.col("e").alias("rep"))
+        .agg(F.sum("copies").alias("pairs"), F.sum(F.when(F.col("similarity") == 1.0, F.col("copies")).otherwise(0)).alias("exact_pairs"))
+    )
+    origin = df.groupBy(F.col(f"`{key}`").cast("bigint").alias("id")).agg(F.min(F.col(f"`{source}`")).alias("source"))
     return (
-        pairs.join(origin, "held_out")
+        copied.where(~F.col("train"))
+        .select("rep", "id", "split")
+        .join(partners, "rep")
+        .join(origin, "id")
         .groupBy("split", "source")
-        .agg(F.count("*").alias("pairs"), F.countDistinct("held_out").alias("records"), F.sum((F.col("similarity") == 1.0).cast("int")).alias("exact_pairs"))
+        .agg(F.sum("pairs").alias("pairs"), F.count("*").alias("records"), F.sum("exact_pairs").alias("exact_pairs"))
     )

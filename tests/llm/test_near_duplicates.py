@@ -152,5 +152,32 @@ def test_overlap_report(spark):
     assert cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_large_classes_across_splits(spark):
+    """Five copies in test and validation and four in train, all beyond the number that is listed."""
+    text = "a b c d e f g h i j k l"
+    rows = [(i, text, None, "test" if i < 3 else "validation", "s" if i % 2 else "u") for i in range(5)] + [(i, text, None, "train", "s") for i in range(10, 14)]
+    rows += [(20, text + " m", None, "test", "s"), (30, text + " n", None, "train", "s")]
+    df = spark.createDataFrame(rows, "pair_id long, question string, answer string, split string, source string")
+    across = {(i, j) for i in (0, 1, 2, 3, 4, 20) for j in (10, 11, 12, 13, 30)}
+    everything = {(min(p), max(p)) for p in across}
+    pairs = [(r["a"], r["b"]) for r in cross_split_pairs(df).collect()]
+    assert len(pairs) == len(everything) and set(pairs) == everything
+    pairs = [(r["a"], r["b"]) for r in cross_split_pairs(df, copies_listed=2).collect()]
+    # One of the two is the least id of its class.
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(min(p), max(p)) for p in across if p[0] in (0, 20) or p[1] in (10, 30)}
+    want = {("test", "u"): (10, 2, 8), ("test", "s"): (10, 2, 4), ("validation", "s"): (5, 1, 4), ("validation", "u"): (5, 1, 4)}
+    got = {(r["split"], r["source"]): (r["pairs"], r["records"], r["exact_pairs"]) for r in overlap_report(df).collect()}
+    assert got == want
+
+
+def test_report_counts_classes_beyond_the_listed_number(spark):
+    text = "a b c d e f g h i j k l"
+    rows = [(0, text, None, "train", "s")] + [(i, text, None, "test" if i < 800 else "validation", "s") for i in range(1, 1202)]
+    df = spark.createDataFrame(rows, "pair_id long, question string, answer string, split string, source string")
+    got = {r["split"]: (r["pairs"], r["records"], r["exact_pairs"]) for r in overlap_report(df).collect()}
+    assert got == {"test": (799, 799, 799), "validation": (402, 402, 402)}
+    assert cross_split_pairs(df).count() == 1201
+
+
 def test_local_folder_is_used_only_where_none_is_named(spark):
     assert near_duplicates.materialise(spark.range(3), "x").count() == 3
