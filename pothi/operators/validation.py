@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from pothi.functions.metrics import bound
 from pothi.functions.text import _nfc, strip, tokens
+from pothi.operators.dedup import greedy_dedup
+from pothi.plans.store import materialise
 from pothi.plugins import Detector, Generator
 
 #: Thresholds of the signals.
-LEAST_OVERLAP, RETRIEVAL_DEPTH, CMAR_TARGET = 0.25, 3, 0.80
+LEAST_OVERLAP, RETRIEVAL_DEPTH, CMAR_TARGET, DEDUP_COSINE = 0.25, 3, 0.80, 0.97
 # Question words.
 QUESTION_WORDS = ("what", "which", "who", "when", "where", "why", "how", *map(_nfc, ("কী", "কি", "কোন", "কেন", "কোথায়", "কখন", "কীভাবে")))
 # Fixed value: how a verifier is asked; the source is cut to what the verifier takes.
@@ -101,6 +103,14 @@ def round_trip(pairs: DataFrame, ranking: DataFrame, depth: int = RETRIEVAL_DEPT
     return pairs.join(hits, ["pair_id", "chunk_id"], "left").withColumn("s1", F.coalesce("s1", F.lit(False)))
 
 
+def deduplicated(flagged: DataFrame, threshold: float = DEDUP_COSINE) -> tuple[DataFrame, Column]:
+    """``flagged`` and the column that tells which rows greedy elimination keeps, run on what all signals let pass."""
+    flagged = materialise(flagged, "flagged")
+    passed = flagged.where(F.col("s3") & F.col("s4") & F.col("s5") & F.col("s2") & F.col("s1") & F.col("s6"))
+    kept = greedy_dedup(passed, "pair_id", "question", threshold)
+    return flagged.join(kept, "pair_id", "left"), F.coalesce("kept", F.lit(False))
+
+
 def funnel(flagged: DataFrame, kept: Column | None = None, gold_size: int = 200) -> DataFrame:
     """Report of one row; ``flagged`` has s1 to s6, ``kept`` tells which rows deduplication keeps.
 

@@ -453,10 +453,16 @@ def round_trip_signal(spark: SparkSession, folder: str) -> DataFrame:
       0.8 AS cmar_target, after_s1 / total_raw >= 0.8 AS cmar_met, round(1 - after_s1 / total_raw, 6) AS rejection_rate FROM n"""
 )
 def validation_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    """How many pairs each signal lets pass, and both acceptance ratios."""
+    """How many pairs each signal lets pass, and both acceptance ratios, before greedy elimination as its SQL says."""
     return rounded(validation.funnel(flagged_pairs(spark, folder)))
 
 
+@query()
+def validation_funnel_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole funnel: greedy elimination at cosine 0.97 of question words among the pairs that the last signal lets pass."""
+    return rounded(validation.funnel(*validation.deduplicated(flagged_pairs(spark, folder))))
+
+
 @query()
 def greedy_dedup_097(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that greedy elimination keeps at cosine 0.97 of question words."""

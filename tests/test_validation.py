@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pothi.operators import validation
 from pothi.plugins import ScriptDetector
+from pothi.queries import QUERIES
 
 SOURCE = "RAM or Random Access Memory stores temporary data for the processor to access quickly during computation"
 
@@ -78,3 +79,22 @@ def test_injected_models(spark):
     assert [(r["s2"], r["s2_verdict"]) for r in got] == [(True, " pass, it does"), (False, "FAIL"), (False, "api_failed"), (False, "FAIL")]
     texts = spark.createDataFrame([("RAM কী?",), ("123",), (None,)], "t string")
     assert [r[0] for r in texts.select(validation.detect_language(F.col("t"), ScriptDetector())).collect()] == ["en", None, None]
+
+
+def test_registered_funnel_ends_with_elimination(spark, tmp_path):
+    """Against brute force: a copy of a question that passed goes, one of a question that was rejected stays."""
+    source = "a small nucleus is in the cell"
+    cell, leaf = "What is in the cell?", "What is in the leaf?"
+    # (pair, question, source): the first pair is rejected for its source, so the second is the first that passes.
+    rows = [(1, cell, "nothing"), (2, cell, source), (3, "in the cell? What is", source), (4, leaf, source), (5, cell, source), (6, leaf, "nothing")]
+    qa = [(i, 10 + i, q, "A small nucleus", "x", s, "en", 0) for i, q, s in rows]
+    spark.createDataFrame(qa, PAIRS + ", loaded_at long").write.parquet(f"{tmp_path}/nctb_qa.parquet")
+    ranking = [(i, 10 + i, 1, "bm25") for i, _, _ in rows]
+    spark.createDataFrame(ranking, "query_id long, chunk_id long, rank int, retriever string").write.parquet(f"{tmp_path}/rankings.parquet")
+    kept = []
+    for _, q, s in rows:
+        if s == source and not any(sorted(q.lower().split()) == sorted(k.lower().split()) for k in kept):
+            kept.append(q)
+    row = QUERIES["validation_funnel_deduplicated"](spark, str(tmp_path)).first()
+    assert (row["total_raw"], row["after_s6"], row["after_dedup"], row["gold_test_set_size"]) == (6, 4, len(kept), 2)
+    assert row["cmar_of_verified"] == 0.5 and row["cmar"] == round(2 / 6, 6) and not row["cmar_met"]
