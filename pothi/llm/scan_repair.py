@@ -19,9 +19,9 @@ repairs each text with these counts:
 
 What remains is joined into paragraphs; columns and lists keep their lines.
 
-The vocabulary kept in memory is bounded: a word must stand in a share of
-``1 / VOCABULARY_SHARE`` of all texts, so there are at most that many times the
-mean number of words of a text; the same holds for parts of lines.
+The counts that words and compounds need are the same at every number of texts.
+The vocabulary kept in memory therefore has every word that stands in two texts
+or more, and grows with the corpus as its vocabulary does.
 
 Defined results: null stays null; empty and blank texts have no noise and stay;
 texts are read whole; equal texts are repaired once and alike.
@@ -43,7 +43,10 @@ from pothi.llm.unicode_form import canonical
 from pothi.plans.store import materialise
 
 KINDS = ("hyphen", "misread", "header", "page_no")
-VOCABULARY_SHARE = 20_000
+#: What is more frequent than ``RATIO`` squared times this share of all texts is printed so.
+COMMON_SHARE = 20_000
+#: Words that stand in fewer texts are not in the vocabulary.
+LEAST_KNOWN = 2
 #: What is printed on pages stands in one of so many texts at least; lines of wrapped text that happen to be equal do not.
 EDGE_SHARE = 3_000
 #: A word is a misreading of one that is so many times as frequent.
@@ -138,8 +141,9 @@ class ScanModel:
     memo: dict[str, str | None] = field(default_factory=dict)
 
     @property
-    def least(self) -> int:
-        return max(3, self.texts // VOCABULARY_SHARE)
+    def common(self) -> int:
+        """Count beyond which a word is not taken for a misreading of a word that is still more frequent."""
+        return RATIO * RATIO * max(3, self.texts // COMMON_SHARE)
 
     def repeated(self, part: str) -> bool:
         """Whether a folded part repeats across pages and does not begin texts, as headings do."""
@@ -153,10 +157,10 @@ class ScanModel:
         n, first = self.edges.get(parts[0], (0, 0))
         return 2 * first >= n
 
-    @cached_property
+    @property
     def floor(self) -> int:
-        """Count from which a word can be what a word that the corpus does not know was printed as."""
-        return max(RATIO * (self.least if self.least > 3 else 1), 6)
+        """Count from which a word can be what a word that the corpus does not know was printed as, at every number of texts."""
+        return RATIO
 
     @cached_property
     def longest(self) -> int:
@@ -282,7 +286,7 @@ def repair(text: str | None, model: ScanModel, whole: bool = True) -> tuple[str
 def _reading(word: str, model: ScanModel) -> str | None:
     """The printed form of a misread word, with its capital, or nothing."""
     low = word.lower()
-    if model.words.get(low, 0) > RATIO * RATIO * model.least:
+    if model.words.get(low, 0) > model.common:
         return None
     printed = model.printed(low)
     if printed is None and "-" in low:
@@ -396,7 +400,7 @@ def fit_scan(texts: DataFrame) -> ScanModel:
         .agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
     )
     n = pages.count()
-    least = F.when(F.col("kind") == "w", max(2, n // VOCABULARY_SHARE)).otherwise(max(2, n // EDGE_SHARE))
+    least = F.when(F.col("kind") == "w", LEAST_KNOWN).otherwise(max(2, n // EDGE_SHARE))
     rows = counted.where(F.col("n") >= least).collect()
     words = {r["item"]: r["n"] for r in rows if r["kind"] == "w"}
     edges = {r["item"]: (r["n"], r["first"]) for r in rows if r["kind"] == "e"}

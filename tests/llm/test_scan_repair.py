@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pothi.llm.scan_repair import distinct_texts, fit_scan, is_page_number, repair, repaired, scan_noise
+from pothi.llm.scan_repair import ScanModel, distinct_texts, fit_scan, is_page_number, repair, repaired, scan_noise
 
 WORDS = "river bridge garden mineral engine market paper shallow farmer basket steady valley silent metal distant".split()
 
@@ -84,3 +84,16 @@ def test_tables(spark, corpus):
     fixed = {r["pair_id"]: r for r in repaired(corpus.unionByName(extra)).where("pair_id >= 900").collect()}
     assert fixed[901]["evidence"] == "the market" and fixed[901]["source_text"] is None and fixed[902]["source_text"] == ""
     assert scan_noise(corpus.limit(0)).count() == 0 and repaired(corpus.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("texts", [100, 79_999, 80_000, 537_000, 50_000_000])
+def test_misreadings_do_not_depend_on_the_number_of_texts(texts):
+    model = ScanModel(texts, {"steady": 20, "well-known": 2}, {})
+    assert repair("The stcady river.", model) == ("The steady river.", {"misread"})
+    assert repair("A well-\nknown river.", model) == ("A well-known river.", set())
+
+
+def test_vocabulary_does_not_depend_on_the_number_of_texts(spark):
+    rows = [(i, f"river {i}" + (" a well-known dash" if i < 2 else ""), True) for i in range(60_000)]
+    model = fit_scan(spark.createDataFrame(rows, "id long, text string, page boolean"))
+    assert model.words["well-known"] == 2 and model.words["river"] == 60_000
