@@ -109,6 +109,13 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(_table(spark, folder, "nctb_qa"))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of exact copies, on its side of the split, of each record."""
+    from pothi.llm.cross_split import cross_split_classes
+
+    return cross_split_classes(_table(spark, folder, "nctb_qa")).withColumnRenamed("id", "pair_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective pairs with the kind of defect."""
     from pothi.llm.pair_defects import find_defects
@@ -177,7 +184,7 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p2_found, p2_normalised, p3_found, p3_records, p3_segments, p4_found, p4_report, p4_sample, p5_found, p5_report, p6_found, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
+    for f in (p1_found, p1_repaired, p2_found, p2_normalised, p3_found, p3_records, p3_segments, p4_found, p4_report, p4_sample, p5_found, p5_report, p5_classes, p6_found, p7_found, p7_groups, p8_ids, p9_packed, p9_report, p10_found, p10_clean)
 }
 
 ORACLES: dict[str, str] = {"p4_found": P4_FOUND_SQL}

@@ -34,7 +34,7 @@ PUNCTUATION = dict.fromkeys(
 BAG_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
-        T.StructField("bag", T.StringType()),
+        T.StructField("bag", T.BinaryType()),
         T.StructField("words", T.ArrayType(T.LongType())),
         T.StructField("n", T.IntegerType()),
     ]
@@ -78,7 +78,7 @@ def _bag_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for q, a in zip(pdf["question"], pdf["answer"], strict=True):
             found = np.array(numbered_hashes(words_of(q, a)), dtype=np.uint64)
             found.sort()
-            bags.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest())
+            bags.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             arrays.append(found.view(np.int64))
             sizes.append(len(found))
         yield pd.DataFrame({"id": pdf["id"], "bag": bags, "words": arrays, "n": sizes}).assign(
