@@ -51,8 +51,8 @@ _MAP_BITS = 63 - _SIZE_BITS
 class MinwiseBands:
     """A pair at the threshold J = 2/3 is missed with probability (1 - J^rows)^bands."""
 
-    bands: int = 36
-    rows: int = 4
+    bands: int = 48
+    rows: int = 5
     seed: int = 77_003
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
@@ -66,34 +66,45 @@ def minwise(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((words.view(np.uint64)[:, None] * a + b) >> np.uint64(32)).min(axis=0)
 
 
-def sketches(words: list[np.ndarray], held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of bits for each set: a map of 64 bits, and a tag of a map, the number of words and, as sign, the side."""
+#: Bits of the maps of an entry; the last map shares its word with the number of words and the side.
+MAPS = (64, 64, _MAP_BITS)
+
+
+def sketches(words: list[np.ndarray], held_out: np.ndarray) -> np.ndarray:
+    """Words of bits for each set, a row each: bit maps, the last of which also holds the number of words and, as its sign, the side."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     flat = mix(np.concatenate(words).view(np.uint64))
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    one = np.uint64(1)
-    # A word sets one bit of one of the maps; the maps take their shares of the words by their sizes.
-    slot = (flat >> np.uint64(8)) % np.uint64(64 + _MAP_BITS)
-    first = np.bitwise_or.reduceat(np.where(slot < 64, one << (slot & np.uint64(63)), np.uint64(0)), starts)
-    second = np.bitwise_or.reduceat(np.where(slot >= 64, one << (slot - np.uint64(64)), np.uint64(0)), starts)
+    slot = (flat >> np.uint64(8)) % np.uint64(sum(MAPS))
+    out = np.zeros((len(words), len(MAPS)), np.uint64)
+    begin = 0
+    for j, width in enumerate(MAPS):
+        inside = (slot >= begin) & (slot < begin + width)
+        bit = np.uint64(1) << np.where(inside, slot - np.uint64(begin), np.uint64(0))
+        out[:, j] = np.bitwise_or.reduceat(np.where(inside, bit, np.uint64(0)), starts)
+        begin += width
     n = np.minimum(sizes, _MOST_WORDS).astype(np.uint64)
-    tag = second | (n << np.uint64(_MAP_BITS)) | (held_out.astype(np.uint64) << np.uint64(63))
-    return first.view(np.int64), tag.view(np.int64)
+    out[:, -1] |= (n << np.uint64(_MAP_BITS)) | (held_out.astype(np.uint64) << np.uint64(63))
+    return out.view(np.int64)
 
 
-def may_be_alike(m0: np.ndarray, m1: np.ndarray, o0: np.ndarray, o1: np.ndarray, least: float) -> np.ndarray:
-    """Whether the similarity of two sketched records may reach ``least``; never false for a pair that does."""
+def may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the similarity of two sketched records (rows of unsigned words) may reach ``least``; never false for a pair that does."""
     low = np.uint64((1 << _MAP_BITS) - 1)
-    size = np.uint64(_MOST_WORDS)
-    n = ((m1 >> np.uint64(_MAP_BITS)) & size).astype(np.int64)
-    o = ((o1 >> np.uint64(_MAP_BITS)) & size).astype(np.int64)
-    alone = np.bitwise_count(m0 & ~o0).astype(np.int64) + np.bitwise_count(m1 & ~o1 & low)
-    other = np.bitwise_count(o0 & ~m0).astype(np.int64) + np.bitwise_count(o1 & ~m1 & low)
+    n, o = (((m[:, -1] >> np.uint64(_MAP_BITS)) & np.uint64(_MOST_WORDS)).astype(np.int64) for m in (x, y))
+    alone, other = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for j in range(len(MAPS)):
+        mask = low if j == len(MAPS) - 1 else ~np.uint64(0)
+        alone += np.bitwise_count(x[:, j] & ~y[:, j] & mask)
+        other += np.bitwise_count(y[:, j] & ~x[:, j] & mask)
     known = (n < _MOST_WORDS) & (o < _MOST_WORDS)
     return ~known | (2 * np.minimum(n - alone, o - other) >= least * (n + o) - 1e-9)
 
 
-ENTRY = "key long, id long, m0 long, m1 long"
+_SKETCH = [f"m{j}" for j in range(len(MAPS))]
+ENTRY = ", ".join(f"{c} long" for c in ("key", "id", *_SKETCH))
+#: Bytes of a packed entry (id and sketch).
+_PACKED = 8 * (1 + len(MAPS))
 
 
 def _entries(bands: MinwiseBands):
@@ -110,28 +121,27 @@ def _entries(bands: MinwiseBands):
                 key = np.broadcast_to(salt, hashes.shape[:2]).copy()
                 for r in range(bands.rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[:, :, r])
-                m0, m1 = sketches(words, ~pdf["train"].to_numpy(bool))
+                maps = sketches(words, ~pdf["train"].to_numpy(bool))
                 yield pd.DataFrame(
                     {"key": key.view(np.int64).reshape(-1)}
-                    | {c: np.repeat(v, bands.bands) for c, v in (("id", pdf["id"].to_numpy(np.int64)), ("m0", m0), ("m1", m1))}
+                    | {c: np.repeat(v, bands.bands) for c, v in (("id", pdf["id"].to_numpy(np.int64)), *zip(_SKETCH, maps.T, strict=True))}
                 )
 
     return run
 
 
 def _compare(e: np.ndarray, t: np.ndarray, sides: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs of ids, out of pairs of rows (e, t) of entries (id, m0, m1), that may be alike."""
+    """Pairs of ids, out of pairs of rows (e, t) of entries (id, sketch), that may be alike."""
     for at in range(0, len(e), _AT_ONCE):
         x, y = sides[e[at : at + _AT_ONCE]], sides[t[at : at + _AT_ONCE]]
-        u, v = x.view(np.uint64), y.view(np.uint64)
-        kept = may_be_alike(u[:, 1], u[:, 2], v[:, 1], v[:, 2], least)
+        kept = may_be_alike(x[:, 1:].view(np.uint64), y[:, 1:].view(np.uint64), least)
         if kept.any():
             yield np.stack([x[kept, 0], y[kept, 0]], axis=1)
 
 
 def _pairs_of_runs(key: np.ndarray, rows: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """Candidates of whole buckets; entries are sorted by key, held-out ones first."""
-    held = rows[:, 2] < 0
+    held = rows[:, -1] < 0
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[begin, len(key)])
     n_held = np.add.reduceat(held.astype(np.int64), begin)
@@ -155,20 +165,20 @@ def _buckets(least: float):
     def blocks(key: int, rows: np.ndarray, number: int) -> list[tuple]:
         out = []
         for train in (False, True):
-            side = rows[(rows[:, 2] >= 0) == train]
+            side = rows[(rows[:, -1] >= 0) == train]
             for at in range(0, len(side), BLOCK):
                 out.append((None, None, int(key), train, (number + len(out)) % CELLS, side[at : at + BLOCK].tobytes()))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["e", "t", "key", "train", "cell", "data"]
-        rest_key, rest = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+        rest_key, rest = np.zeros(0, np.int64), np.zeros((0, 1 + len(MAPS)), np.int64)
         large, number = None, 0
         for pdf in batches:
             if not len(pdf):
                 continue
             key = np.r_[rest_key, pdf["key"].to_numpy(np.int64)]
-            rows = np.vstack([rest, pdf[["id", "m0", "m1"]].to_numpy(np.int64)])
+            rows = np.vstack([rest, pdf[["id", *_SKETCH]].to_numpy(np.int64)])
             rest_key, rest = key[:0], rows[:0]
             last = int(np.searchsorted(key, key[-1]))
             packed: list[tuple] = []
@@ -202,8 +212,8 @@ def _block_pairs(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x, y in zip(pdf["held"], pdf["trained"], strict=True):
-                rows = np.frombuffer(x + y, np.int64).reshape(-1, 3)
-                h, n = len(x) // 24, len(y) // 24
+                rows = np.frombuffer(x + y, np.int64).reshape(-1, 1 + len(MAPS))
+                h, n = len(x) // _PACKED, len(y) // _PACKED
                 for at in range(0, h, max(1, _AT_ONCE // n)):
                     some = np.arange(at, min(h, at + max(1, _AT_ONCE // n)))
                     for found in _compare(np.repeat(some, n), np.tile(np.arange(h, h + n), len(some)), rows, least):
@@ -214,7 +224,7 @@ def _block_pairs(least: float):
 
 def bucket_candidates(sides: DataFrame, least: float, bands: MinwiseBands) -> DataFrame:
     """Distinct pairs (e, t) of a held-out and a training record that share a bucket and may be alike, from rows (id, train, words)."""
-    sorted_buckets = sides.select("id", "train", "words").mapInPandas(_entries(bands), ENTRY).repartition("key").sortWithinPartitions("key", "m1")
+    sorted_buckets = sides.select("id", "train", "words").mapInPandas(_entries(bands), ENTRY).repartition("key").sortWithinPartitions("key", _SKETCH[-1])
     met = materialise(sorted_buckets.mapInPandas(_buckets(least), "e long, t long, key long, train boolean, cell int, data binary"), "buckets")
     blocks = met.where("data is not null")
     held = blocks.where("not train").select("key", F.col("data").alias("held"), F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))

@@ -23,7 +23,7 @@ def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Source texts and evidence as continuous paragraphs."""
     from pothi.llm.scan_repair import repaired
 
-    return repaired(_table(spark, folder, "nctb_qa").select("pair_id", "evidence", "source_text").distinct())
+    return repaired(_table(spark, folder, "nctb_qa").select("pair_id", "source", "evidence", "source_text").distinct())
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Repair of text taken from scanned pages.
 
-Two passes over the distinct texts.  The first counts, over the whole corpus,
-words, compounds with a hyphen, and the parts of lines that stand alone at page
-edges (folded: lower case, numbers as 0, page numbers taken off).  The second
-repairs each text with these counts:
+Two passes over the distinct texts of each book (``source``).  The first counts
+words and compounds with a hyphen over the whole corpus, and in each book the
+parts of lines that have no sentence end (folded: lower case, numbers as 0, page
+numbers taken off).  The second repairs each text with these counts:
 
 * page numbers: lines that are only a number and its marks, or such a part of a
   header line; numbers in a column, or after a line that ends in a colon, stay;
-* headers and footers: lines without a sentence end whose folded parts repeat
-  across pages, or whose numbered beginning ("chapter 0:") repeats inside pages
-  rather than at the beginning of texts, as a lesson heading does; and short
-  lines that interrupt a sentence;
+* headers and footers: parts that are printed on ``PAGES`` pages of a book or
+  more.  A line is printed by itself, and not wrapped text that happens to be
+  equal, where the next word would still have fitted into it; nearly all lines
+  with the part must be so, and most of them must not begin texts, as a lesson
+  heading does.  A part with fewer pages in its own book is judged by all books
+  together, and a part unlike every other is compared with the headers of its
+  book: within ``edits`` of one of them it is the same header, misread.  A short
+  line that interrupts a sentence is a header without repetition;
 * hyphenation: a word cut at a line end is joined when the corpus knows it
   joined, or does not know it as a compound;
 * misread characters: a word that the corpus hardly knows, and that becomes a
@@ -19,12 +23,16 @@ repairs each text with these counts:
 
 What remains is joined into paragraphs; columns and lists keep their lines.
 
-The counts that words and compounds need are the same at every number of texts.
-The vocabulary kept in memory therefore has every word that stands in two texts
-or more, and grows with the corpus as its vocabulary does.
+Pages often stand in the middle of a text, because texts are cut by content, so
+every line is looked at and not only the first and last ones.  The counts that
+words, compounds and headers need are the same at every number of texts and of
+books.  Headers are looked up by a join; the vocabulary is kept in memory, has
+every word that stands in two texts or more, and grows with the corpus as its
+vocabulary does.
 
 Defined results: null stays null; empty and blank texts have no noise and stay;
-texts are read whole; equal texts are repaired once and alike.
+texts are read whole; equal texts of a book are repaired once and alike; texts
+without a source are a book of their own.
 """
 
 from __future__ import annotations
@@ -47,8 +55,8 @@ KINDS = ("hyphen", "misread", "header", "page_no")
 COMMON_SHARE = 20_000
 #: Words that stand in fewer texts are not in the vocabulary.
 LEAST_KNOWN = 2
-#: What is printed on pages stands in one of so many texts at least; lines of wrapped text that happen to be equal do not.
-EDGE_SHARE = 3_000
+#: Pages from which a line without a sentence end is a header, and the share of them on which it must stand by itself.
+PAGES, ALONE = 3, 0.6
 #: A word is a misreading of one that is so many times as frequent.
 RATIO = 15
 
@@ -76,7 +84,8 @@ _page_after = re.compile(rf"(?<=\S)\s{{2,}}(?:{_page_mark}|\d{{1,4}})$", re.IGNO
 _sentence_end = re.compile(r"[.।?!,;:]['\"”’)]*$")
 _numbered = re.compile(r"^([^\s\d:]+\s+0\s*:)")
 _item = re.compile(r"^\s*(?:\d{1,3}[.)]|[০-৯]{1,3}[.)।]|[-•*])\s")
-LONGEST_EDGE = 90
+#: Characters of a numbered heading at most.
+LONGEST_HEADING = 90
 
 
 _bengali_digit = re.compile("[০-৯]")
@@ -94,7 +103,7 @@ def _fold(line: str) -> str:
 def edge_parts(line: str) -> tuple[list[str], bool] | None:
     """Folded parts of a line that may be a header, and whether a page number stands in it; nothing for other lines."""
     plain = line.strip()
-    if not plain or len(plain) > LONGEST_EDGE or _sentence_end.search(plain) or _item.match(plain):
+    if not plain or _sentence_end.search(plain[-4:]) or _item.match(plain):
         return None
     plain = _western(plain)
     page = False
@@ -105,7 +114,7 @@ def edge_parts(line: str) -> tuple[list[str], bool] | None:
             break
     if not any(c.isalpha() for c in plain):
         return None
-    parts = [p for p in (_fold(x) for x in re.split(r"\s*[|·•]\s*", plain)) if p]
+    parts = [p for p in (_fold(x) for x in re.split(r"\s*[|·•]\s*", plain)) if any(map(str.isalpha, p))]
     numbered = _numbered.match(parts[0])
     if numbered:
         parts[0] = numbered.group(1)
@@ -137,7 +146,6 @@ class ScanModel:
 
     texts: int
     words: dict[str, int]
-    edges: dict[str, tuple[int, int]]
     memo: dict[str, str | None] = field(default_factory=dict)
 
     @property
@@ -145,18 +153,6 @@ class ScanModel:
         """Count beyond which a word is not taken for a misreading of a word that is still more frequent."""
         return RATIO * RATIO * max(3, self.texts // COMMON_SHARE)
 
-    def repeated(self, part: str) -> bool:
-        """Whether a folded part repeats across pages and does not begin texts, as headings do."""
-        n, first = self.edges.get(part, (0, 0))
-        return n >= max(3, self.texts // EDGE_SHARE) and 2 * first < n
-
-    def heading(self, parts: list[str]) -> bool:
-        """Whether the numbered beginning of a line is that of headings, which begin texts."""
-        if not _numbered.match(parts[0]):
-            return False
-        n, first = self.edges.get(parts[0], (0, 0))
-        return 2 * first >= n
-
     @property
     def floor(self) -> int:
         """Count from which a word can be what a word that the corpus does not know was printed as, at every number of texts."""
@@ -239,11 +235,15 @@ def _join_cut(m: re.Match, words: dict[str, int]) -> str | None:
     return a + b
 
 
-def repair(text: str | None, model: ScanModel, whole: bool = True) -> tuple[str | None, set[str]]:
-    """A text as continuous paragraphs, and the kinds of noise that were in it; without ``whole`` lines stay unjoined."""
+def repair(text: str | None, model: ScanModel, edges: dict[str, bool] | None = None, whole: bool = True) -> tuple[str | None, set[str]]:
+    """A text as continuous paragraphs, and the kinds of noise that were in it; without ``whole`` lines stay unjoined.
+
+    ``edges`` says of parts of lines of this text whether they are headers (true) or headings (false).
+    """
     if not text or not text.strip():
         return text, set()
     found: set[str] = set()
+    edges = edges or {}
     lines = canonical(text).split("\n")
     widths = sorted(len(x) for x in lines if x.strip())
     typical = widths[len(widths) // 2]
@@ -253,9 +253,8 @@ def repair(text: str | None, model: ScanModel, whole: bool = True) -> tuple[str
             found.add("page_no")
             continue
         parts = edge_parts(line)
-        if parts is not None and not model.heading(parts[0]):
-            known = any(model.repeated(p) for p in parts[0])
-            if known or _interrupts(lines, i, typical):
+        if parts is not None and not _is_heading(parts[0], edges):
+            if any(edges.get(p) for p in parts[0]) or _interrupts(lines, i, typical):
                 found.add("header")
                 if parts[1]:
                     found.add("page_no")
@@ -297,6 +296,11 @@ def _reading(word: str, model: ScanModel) -> str | None:
     return printed.capitalize() if word[0].isupper() else printed
 
 
+def _is_heading(parts: list[str], edges: dict[str, bool]) -> bool:
+    """Whether the numbered beginning of a line is that of headings, which begin texts; one that is no header counts as such."""
+    return bool(_numbered.match(parts[0])) and not edges.get(parts[0], False)
+
+
 def _interrupts(lines: list[str], i: int, typical: int) -> bool:
     """Whether a line without a sentence end stands inside a sentence that goes on after it."""
     if i == 0 or i == len(lines) - 1:
@@ -336,52 +340,57 @@ def _paragraphs(text: str) -> str:
             else:
                 joined[-1].append(line)
             # Whether the next line begins a line of its own: after a number, a colon, or a heading.
-            closed = bare or line.endswith(":") or (len(joined[-1]) == 1 and len(line) <= LONGEST_EDGE and bool(_numbered.match(_fold(line))))
+            closed = bare or line.endswith(":") or (len(joined[-1]) == 1 and len(line) <= LONGEST_HEADING and bool(_numbered.match(_fold(line))))
         if joined:
             out.append("\n".join(" ".join(lines) for lines in joined))
     return "\n\n".join(out)
 
 
+COUNTED = "kind string, source string, item string, n long, alone boolean, first boolean, page boolean, a long, b long"
+
+
+def line_edges(text: str) -> dict[str, tuple[bool, bool]]:
+    """Parts of the lines of a text in the consistent form that may be headers: whether one stands by itself, and whether it begins the text."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    width = max(map(len, lines), default=0)
+    out: dict[str, tuple[bool, bool]] = {}
+    for i, line in enumerate(lines):
+        parts = edge_parts(line)
+        if parts is None:
+            continue
+        follow = lines[i + 1].split(None, 1)[0] if i + 1 < len(lines) else None
+        # Wrapped lines are full, but for a last one that only has the rest of a cut word.
+        alone = (follow is None or len(line) + 1 + len(follow) <= width) and not (i and " " not in line and lines[i - 1].endswith("-"))
+        for p in parts[0]:
+            before = out.get(p, (False, False))
+            out[p] = (before[0] or alone, before[1] or i == 0)
+    return out
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words and edge parts of a batch, each once for each text."""
+    """Counts of the words of a batch, each once for each page text (kind w), and the edge parts of each text (kind e)."""
     for pdf in batches:
         words: Counter[str] = Counter()
-        edges: Counter[str] = Counter()
-        firsts: Counter[str] = Counter()
-        for text in pdf["text"]:
+        rows: list[tuple] = []
+        for text, source, page, a, b in zip(pdf["text"], pdf["source"], pdf["page"], pdf["a"], pdf["b"], strict=True):
             plain = canonical(text)
-            lines = plain.split("\n")
-            began = False
-            seen: dict[str, bool] = {}
-            for line in lines:
-                if not line.strip():
-                    continue
-                parts = edge_parts(line)
-                for p in parts[0] if parts else ():
-                    seen.setdefault(p, not began)
-                began = True
-            edges.update(seen.keys())
-            firsts.update(p for p, first in seen.items() if first)
-            # The end of a line may cut a word or a compound; neither half is counted.
-            words.update({w.lower() for w in WORD.findall(_cut.sub(" ", plain))})
-        keys = [*(("w", w) for w in words), *(("e", p) for p in edges)]
-        yield pd.DataFrame(
-            {
-                "kind": [k for k, _ in keys],
-                "item": [x for _, x in keys],
-                "n": [*words.values(), *edges.values()],
-                "first": [*([0] * len(words)), *(firsts[p] for p in edges)],
-            }
-        )
-
-
-def distinct_texts(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Distinct texts of the named columns with their key (``text_key``: two 64-bit hashes) and whether a page text (the last column)."""
+            rows += [("e", source, p, 1, alone, first, page, a, b) for p, (alone, first) in line_edges(plain).items()]
+            if page:
+                # The end of a line may cut a word or a compound; neither half is counted.
+                words.update({w.lower() for w in WORD.findall(_cut.sub(" ", plain))})
+        rows += [("w", None, w, n, None, None, True, None, None) for w, n in words.items()]
+        out = pd.DataFrame(rows, columns=["kind", "source", "item", "n", "alone", "first", "page", "a", "b"], dtype=object)
+        yield out.astype({"n": "Int64", "a": "Int64", "b": "Int64"})
+
+
+def distinct_texts(df: DataFrame, fields: list[str], source: str | None = "source") -> DataFrame:
+    """Distinct texts (text, source, a, b, page) of the named columns in each book; a, b are two hashes of the text, ``page`` says that it is a page text (the last column)."""
+    book = F.col(f"`{source}`").cast("string") if source and source in df.columns else F.lit(None).cast("string")
     every = None
     for f in fields:
-        one = df.select(F.col(f"`{f}`").alias("text"), F.lit(f == fields[-1]).alias("page")).where(F.col("text").rlike(r"\S"))
+        one = df.select(F.col(f"`{f}`").alias("text"), book.alias("source"), F.lit(f == fields[-1]).alias("page")).where(F.col("text").rlike(r"\S"))
         every = one if every is None else every.unionAll(one)
-    return every.groupBy("text").agg(F.max("page").alias("page")).withColumn("text_key", text_key("text"))
+    return every.groupBy("text", "source").agg(F.max("page").alias("page")).select("*", text_key("text")["a"].alias("a"), text_key("text")["b"].alias("b"))
 
 
 def text_key(name: str):
@@ -390,60 +399,135 @@ def text_key(name: str):
     return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(1), column).alias("b"))
 
 
-def fit_scan(texts: DataFrame) -> ScanModel:
-    """Model from the page texts of a table of distinct texts."""
-    pages = texts.where("page")
-    counted = (
-        pages.select("text")
-        .mapInPandas(_count, "kind string, item string, n long, first long")
-        .groupBy("kind", "item")
-        .agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
+def count_texts(texts: DataFrame) -> DataFrame:
+    """Counts of words and edge parts of a table of distinct texts."""
+    return materialise(texts.mapInPandas(_count, COUNTED), "counted")
+
+
+def fit_scan(counted: DataFrame, texts: int) -> ScanModel:
+    """Model from the counts of a corpus of so many page texts."""
+    words = counted.where("kind = 'w'").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_KNOWN)
+    return ScanModel(texts, {r["item"]: r["n"] for r in words.collect()})
+
+
+def edits(length: F.Column) -> F.Column:
+    """Edits by which two readings of one header may differ: one, from twelve characters two."""
+    return F.when(length < 12, 1).otherwise(2)
+
+
+def printed_edges(counted: DataFrame) -> DataFrame:
+    """Rows (source, item, header): the parts that are headers of a book, and the beginnings of its headings."""
+    one = F.col("page").cast("int")
+    own = (
+        counted.where("kind = 'e'")
+        .groupBy("source", "item")
+        .agg(F.sum(one).alias("n"), F.sum((F.col("alone") & F.col("page")).cast("int")).alias("alone"), F.sum((F.col("first") & F.col("page")).cast("int")).alias("first"))
+    )
+    own = materialise(own, "edges")
+    everywhere = own.where("alone > 0").groupBy("item").agg(F.sum("n").alias("all_n"), F.sum("alone").alias("all_alone"), F.sum("first").alias("all_first"))
+
+    def header(n: str, alone: str, first: str) -> F.Column:
+        return (F.col(alone) >= PAGES) & (F.col(alone) >= ALONE * F.col(n)) & (2 * F.col(first) < F.col(n))
+
+    enough = F.col("alone") >= PAGES
+    judged = own.join(everywhere, "item", "left").select(
+        "source", "item", "alone", F.when(enough, header("n", "alone", "first")).otherwise(F.coalesce(header("all_n", "all_alone", "all_first"), F.lit(False))).alias("header")
+    )
+    judged = materialise(judged.where("header or alone > 0"), "judged")
+    headers = judged.where("header")
+
+    def words(rows: DataFrame, name: str) -> DataFrame:
+        word = F.explode(F.array_distinct(F.filter(F.split("item", " "), lambda w: (F.length(w) >= 3) | w.endswith(":"))))
+        return rows.select(F.coalesce("source", F.lit("")).alias("book"), "source", F.col("item").alias(name), word.alias("word"))
+
+    # A part unlike all others is the misreading of a header of its book that shares a word with it.
+    near = (
+        words(judged.where("not header and alone < %d" % PAGES), "item")
+        .join(words(headers, "other").drop("source"), ["book", "word"])
+        .where(F.levenshtein("item", "other", 2).between(0, edits(F.length("other"))))
+        .select("source", "item")
+        .distinct()
     )
-    n = pages.count()
-    least = F.when(F.col("kind") == "w", LEAST_KNOWN).otherwise(max(2, n // EDGE_SHARE))
-    rows = counted.where(F.col("n") >= least).collect()
-    words = {r["item"]: r["n"] for r in rows if r["kind"] == "w"}
-    edges = {r["item"]: (r["n"], r["first"]) for r in rows if r["kind"] == "e"}
-    return ScanModel(n, words, edges)
+    return materialise(headers.select("source", "item").union(near).distinct(), "headers")
+
+
+def with_headers(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """The texts with the parts of their lines that are headers (array ``headers``, null where there is none)."""
+    headers = printed_edges(counted)
+    found = (
+        counted.where("kind = 'e'")
+        .select("source", "item", "a", "b")
+        .join(headers.select(F.col("source").alias("book"), "item"), ["item"])
+        .where(F.col("source").eqNullSafe(F.col("book")))
+        .groupBy("a", "b", "book")
+        .agg(F.collect_set("item").alias("headers"))
+        .withColumnsRenamed({"a": "ha", "b": "hb"})
+    )
+    same = (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb")) & F.col("source").eqNullSafe(F.col("book"))
+    return texts.join(found, same, "left").select("text", "source", "a", "b", "headers")
+
 
+def _prepared(df: DataFrame, fields: tuple[str, ...], source: str | None):
+    """The distinct texts with their headers, and the model as a shared value."""
+    texts = materialise(distinct_texts(df, list(fields), source), "texts")
+    counted = count_texts(texts)
+    model = fit_scan(counted, texts.where("page").count())
+    return with_headers(texts, counted), df.sparkSession.sparkContext.broadcast(model)
 
-def scan_noise(df: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("evidence", "source_text")) -> DataFrame:
-    """Rows (key, field, noise), each once; the last field holds the page texts."""
-    texts = materialise(distinct_texts(df, list(fields)), "texts")
-    model = fit_scan(texts)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+
+def _wide(df: DataFrame, key: str, fields: tuple[str, ...], source: str | None) -> DataFrame:
+    """Rows (key, field, a, b, book) of all values."""
+    book = F.col(f"`{source}`").cast("string") if source and source in df.columns else F.lit(None).cast("string")
+    return df.select(
+        F.col(f"`{key}`").alias("key"), book.alias("book"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text_key(f).alias("k")) for f in fields))).alias("v")
+    ).select("key", "book", "v.field", "v.k.a", "v.k.b")
+
+
+def scan_noise(df: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("evidence", "source_text"), source: str | None = "source") -> DataFrame:
+    """Rows (key, field, noise), each once; the last field holds the page texts, ``source`` names their book."""
+    texts, shared = _prepared(df, fields, source)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
             rows = [
-                (a, b, kind)
-                for text, a, b in zip(pdf["text"], pdf["a"], pdf["b"], strict=True)
-                for kind in sorted(repair(text, m, whole=False)[1])
+                (a, b, book, kind)
+                for text, a, b, book, headers in zip(pdf["text"], pdf["a"], pdf["b"], pdf["source"], pdf["headers"], strict=True)
+                for kind in sorted(repair(text, m, _known(headers), whole=False)[1])
             ]
-            yield pd.DataFrame(rows, columns=["a", "b", "noise"])
+            yield pd.DataFrame(rows, columns=["a", "b", "source", "noise"])
 
-    noisy = texts.select("text", "text_key.a", "text_key.b").mapInPandas(run, "a long, b long, noise string")
-    noisy = materialise(noisy, "noisy")
-    wide = df.where(F.col(f"`{key}`").isNotNull()).select(
-        F.col(f"`{key}`").alias(key), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text_key(f).alias("k")) for f in fields))).alias("v")
-    )
+    noisy = materialise(texts.mapInPandas(run, "a long, b long, source string, noise string"), "noisy")
     return (
-        wide.select(key, "v.field", "v.k.a", "v.k.b").join(noisy, ["a", "b"]).select(key, "field", "noise").distinct()
+        _wide(df.where(F.col(f"`{key}`").isNotNull()), key, fields, source)
+        .join(noisy, ["a", "b"])
+        .where(F.col("book").eqNullSafe(F.col("source")))
+        .select(F.col("key").alias(key), "field", "noise")
+        .distinct()
     )
 
 
-def repaired(df: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("evidence", "source_text")) -> DataFrame:
-    """The named columns of ``df`` repaired, with the key."""
-    from pyspark.sql import types as T
+def _known(headers) -> dict[str, bool]:
+    return {} if headers is None else dict.fromkeys(headers, True)
 
-    texts = materialise(distinct_texts(df, list(fields)), "texts")
-    shared = df.sparkSession.sparkContext.broadcast(fit_scan(texts))
 
-    @F.pandas_udf(T.StringType())
-    def fix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        for values in batches:
-            yield values.map(lambda t: repair(t, m)[0], na_action="ignore").astype(object)
+def repaired(df: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("evidence", "source_text"), source: str | None = "source") -> DataFrame:
+    """The named columns of each row of ``df`` repaired, with the key; equal texts of a book are repaired once, and only texts that change are joined."""
+    texts, shared = _prepared(df, fields, source)
 
-    return df.select(F.col(f"`{key}`"), *(fix(F.col(f"`{f}`")).alias(f) for f in fields))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for pdf in batches:
+            fixed = pd.Series([repair(t, m, _known(h))[0] for t, h in zip(pdf["text"], pdf["headers"], strict=True)], dtype=object)
+            changed = (fixed.to_numpy() != pdf["text"].to_numpy()).astype(bool)
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "book": pdf["source"]})
+            yield out.assign(fixed=fixed.to_numpy())[changed]
+
+    fixes = materialise(texts.mapInPandas(run, "a long, b long, book string, fixed string"), "fixes")
+    out = df.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)),
+                    (F.col(f"`{source}`").cast("string") if source and source in df.columns else F.lit(None).cast("string")).alias("source"))
+    for i in range(len(fields)):
+        mine = fixes.withColumnsRenamed({"a": f"a{i}", "b": f"b{i}", "book": f"book{i}", "fixed": f"fixed{i}"})
+        same = (text_key(f"f{i}")["a"] == F.col(f"a{i}")) & (text_key(f"f{i}")["b"] == F.col(f"b{i}")) & F.col("source").eqNullSafe(F.col(f"book{i}"))
+        out = out.join(mine, same, "left")
+    return out.select(F.col("key").alias(key), *(F.coalesce(f"fixed{i}", f"f{i}").alias(f) for i, f in enumerate(fields)))

@@ -55,7 +55,8 @@ def numbered_hashes(words: list[str]) -> list[int]:
         k = seen.get(w, 0)
         seen[w] = k + 1
         h = _hash(w)
-        out.append(h if not k else xxhash.xxh3_64_intdigest(w, seed=k))
+        # A seed would not do: on short words it only shifts the input, and the second "2" may be the first "3".
+        out.append(h if not k else xxhash.xxh3_64_intdigest(f"{w} {k}"))
     return out
 
 

@@ -1,11 +1,12 @@
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from pothi.llm import near_duplicates
-from pothi.llm.cross_split import MinwiseBands, cross_split_pairs, minwise, overlap_report
+from pothi.llm import cross_split, near_duplicates
+from pothi.llm.cross_split import MinwiseBands, bucket_candidates, cross_split_classes, cross_split_pairs, may_be_alike, minwise, overlap_report, sketches
 from pothi.llm.near_duplicates import Banding, band_keys, connected, near_duplicate_groups, near_duplicate_pairs, one_permutation
 from pothi.llm.shingles import numbered_hashes, words_of
 
@@ -134,6 +135,8 @@ def test_short_lists_fill_all_bins():
 def test_numbered_hashes():
     assert len(set(numbered_hashes("a a b a".split()))) == 4
     assert numbered_hashes(["a"]) == numbered_hashes(["a", "b"])[:1]
+    seen = [h for w in range(1000) for h in numbered_hashes([f"w{w}"] * 4)]
+    assert len(set(seen)) == 4000
 
 
 def test_connected(spark):
@@ -181,3 +184,45 @@ def test_report_counts_classes_beyond_the_listed_number(spark):
 
 def test_local_folder_is_used_only_where_none_is_named(spark):
     assert near_duplicates.materialise(spark.range(3), "x").count() == 3
+
+
+def test_sketches_exclude_only_pairs_below_the_threshold():
+    rng = np.random.default_rng(3)
+    shared = [rng.integers(-(2**62), 2**62, 40) for _ in range(200)]
+    own = [rng.integers(-(2**62), 2**62, rng.integers(0, 25)) for _ in range(400)]
+    x = [np.r_[s, own[2 * i]] for i, s in enumerate(shared)]
+    y = [np.r_[s, own[2 * i + 1]] for i, s in enumerate(shared)]
+    mx, my = (sketches(z, np.full(200, side)).view(np.uint64) for z, side in ((x, True), (y, False)))
+    alike = np.array([80 / (len(a) + len(b)) >= 0.8 for a, b in zip(x, y, strict=True)])
+    may = may_be_alike(mx, my, 0.8)
+    assert alike.any() and not alike.all() and may[alike].all() and may[~alike].mean() < 0.5
+    assert not may_be_alike(mx, np.roll(my, 1, axis=0), 0.8).any()
+
+
+@pytest.mark.parametrize("streamed", [2, 40])
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, streamed):
+    monkeypatch.setattr(cross_split, "STREAMED", streamed)
+    monkeypatch.setattr(cross_split, "BLOCK", 3)
+    records = corpus(150, 8)
+    df, split = frame(spark, records)
+    want = {(i, j) for j in range(150) for i in range(j) if similarity(records[i], records[j]) >= 0.8 and (split[i] == "train") != (split[j] == "train")}
+    got = [(r["a"], r["b"]) for r in cross_split_pairs(df).collect()]
+    assert len(want) > 10 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_beyond_the_listed_number_are_counted_and_have_a_class(spark):
+    text = "a b c d e f g h i j k l"
+    df = spark.range(1503).selectExpr("id as pair_id", f"'{text}' as question", "cast(null as string) as answer", "if(id < 1500, 'train', 'test') as split", "'s' as source")
+    assert [tuple(r) for r in overlap_report(df).select("pairs", "records", "exact_pairs").collect()] == [(4500, 3, 4500)]
+    assert {(r["class_id"], r["copies"]) for r in cross_split_classes(df).collect()} == {(0, 1500), (1500, 3)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_candidates_grow_with_the_records(spark):
+    counts = {}
+    for sf in ("0.01", "0.1"):
+        df = spark.read.parquet(f"/root/testdata/sf{sf}/nctb_qa.parquet")
+        prepared, _, classes = cross_split._classes(df, "pair_id", "question", "answer", "split", "train")
+        sides = prepared.join(classes.selectExpr("rep as id", "bag", "train"), ["id", "bag"]).select("id", "train", "words")
+        counts[sf] = bucket_candidates(sides, 0.8, MinwiseBands()).count()
+    assert 0 < counts["0.1"] <= 10**1.1 * counts["0.01"]

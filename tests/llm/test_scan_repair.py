@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from pothi.llm.scan_repair import ScanModel, distinct_texts, fit_scan, is_page_number, repair, repaired, scan_noise
+from pothi.llm.scan_repair import ScanModel, count_texts, distinct_texts, fit_scan, is_page_number, line_edges, printed_edges, repair, repaired, scan_noise
+from pothi.llm.unicode_form import canonical
 
 WORDS = "river bridge garden mineral engine market paper shallow farmer basket steady valley silent metal distant".split()
 
@@ -28,8 +29,18 @@ def corpus(spark):
 
 
 @pytest.fixture(scope="module")
-def model(corpus):
-    return fit_scan(distinct_texts(corpus, ["evidence", "source_text"]))
+def counted(corpus):
+    return count_texts(distinct_texts(corpus, ["evidence", "source_text"]))
+
+
+@pytest.fixture(scope="module")
+def model(counted):
+    return fit_scan(counted, 160)
+
+
+@pytest.fixture(scope="module")
+def headers(counted):
+    return {r["item"] for r in printed_edges(counted).collect()}
 
 
 @pytest.mark.parametrize(
@@ -53,8 +64,8 @@ def model(corpus):
         (None, set(), None),
     ],
 )
-def test_repair(model, text, kinds, fixed):
-    got, found = repair(text, model)
+def test_repair(model, headers, text, kinds, fixed):
+    got, found = repair(text, model, {p: p in headers for p in line_edges(canonical(text) or "")})
     assert found == kinds
     assert fixed is None or got == fixed
 
@@ -88,12 +99,38 @@ def test_tables(spark, corpus):
 
 @pytest.mark.parametrize("texts", [100, 79_999, 80_000, 537_000, 50_000_000])
 def test_misreadings_do_not_depend_on_the_number_of_texts(texts):
-    model = ScanModel(texts, {"steady": 20, "well-known": 2}, {})
+    model = ScanModel(texts, {"steady": 20, "well-known": 2})
     assert repair("The stcady river.", model) == ("The steady river.", {"misread"})
     assert repair("A well-\nknown river.", model) == ("A well-known river.", set())
 
 
 def test_vocabulary_does_not_depend_on_the_number_of_texts(spark):
-    rows = [(i, f"river {i}" + (" a well-known dash" if i < 2 else ""), True) for i in range(60_000)]
-    model = fit_scan(spark.createDataFrame(rows, "id long, text string, page boolean"))
+    rows = [(i, f"river {i}" + (" a well-known dash" if i < 2 else "")) for i in range(60_000)]
+    model = fit_scan(count_texts(distinct_texts(spark.createDataFrame(rows, "id long, text string"), ["text"])), 60_000)
     assert model.words["well-known"] == 2 and model.words["river"] == 60_000
+
+
+def books(rng, pages, source, title):
+    """Pages of a book whose title stands on every third one, inside wrapped text; two of them are misread."""
+    rows = []
+    for i in range(pages):
+        words = [rng.choice(WORDS) for _ in range(60)]
+        lines = [" ".join(words[k : k + 6]) for k in range(0, 60, 6)]
+        if i % 3 == 0:
+            lines.insert(4, f"{title if i not in (3, 6) else title.replace('o', 'a', 1)} | {i + 1}")
+        rows.append((len(rows), "\n".join(lines) + ".", None, source))
+    return rows
+
+
+def test_headers_are_counted_by_book(spark):
+    """Other books change nothing, and a misread title is the title."""
+    schema = "pair_id long, source_text string, evidence string, source string"
+    rng = random.Random(11)
+    small = books(rng, 24, "small", "Stories of the old harbour")
+    others = [r for b in range(40) for r in books(rng, 60, f"other {b}", f"Volume of matters {chr(97 + b % 26)}{b}")]
+
+    def found(rows):
+        df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], schema)
+        return {r["pair_id"] for r in scan_noise(df).where("noise = 'header'").collect() if r["pair_id"] < len(small)}
+
+    assert found(small) == set(range(0, 24, 3)) == found(small + others)
