@@ -1,74 +1,75 @@
-"""BM25 as joins: postings, statistics, top-k.
-
-The index is a table of postings (term, document, tf) with the length of the
-document; queries are exploded into terms with their multiplicity.  A document
-without a query term scores 0 and fills the ranking up, the least id first.
-
-Frequent terms would meet every query with a large part of the corpus.  Queries
-are therefore scored by their rarer terms first; the k-th best of these scores
-is a lower bound, and what the frequent terms of a query can add at most is an
-upper one.  Only documents between the two look their frequent terms up, and
-only a query whose rarer terms do not decide meets the postings of its frequent
-ones.  The ranking is the exact one.
+"""BM25: an index of document vectors, statistics of terms, and exact top-k.
+
+The index keeps each document as its terms with their counts, in place.  A
+stated set of queries is cut into blocks of a bounded number of terms; a block
+travels to the documents as a broadcast of proven size, every partition adds up
+the scores of its documents term by term in arrays, and only the k best of each
+query and partition leave it.  No pair of query and document is ever shuffled,
+and a document without a query term simply scores 0, so that negative weights
+and short rankings need no case of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pothi.functions.text import expand_query, stem, tokens
+from pothi.operators.topk import Best, ranked
 from pothi.plans.store import materialise
 
 #: Parameters of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms of one block, which bounds what is broadcast.
+BLOCK_TERMS = 500_000
+_FOUND = "query_id long, chunk_id long, score double"
 
 
 @dataclass
 class LexicalIndex:
-    """Postings (term, doc_id, tf, length), terms (term, df, idf) and document ids."""
+    """Documents (doc_id, length, terms: array of (term, tf)) and terms (term, df, idf)."""
 
-    postings: DataFrame
-    terms: DataFrame
     documents: DataFrame
+    terms: DataFrame
     n: int
     mean_length: float
     floor: float
 
 
-def _terms(df: DataFrame, ids: list[str], words: Column, form: Callable[[Column], Column] | None, n: str) -> DataFrame:
+def _counted(df: DataFrame, ids: list[str], words: Column, form: Callable[[Column], Column] | None, n: str) -> DataFrame:
     """Rows (ids, term, n): how often each term occurs; words are counted first, so the form is taken once for each distinct word."""
-    counted = df.select(*ids, F.explode(words).alias("word")).groupBy(*ids, "word").agg(F.count("*").alias("n"))
+    counted = df.select(*ids, F.explode_outer(words).alias("word")).groupBy(*ids, "word").agg(F.count("word").alias("n"))
     if form is None:
         return counted.select(*ids, F.col("word").alias("term"), F.col("n").alias(n))
     return counted.select(*ids, form(F.col("word")).alias("term"), "n").groupBy(*ids, "term").agg(F.sum("n").alias(n))
 
 
 def build_index(docs: DataFrame, key: str, text: str = "text", form: Callable[[Column], Column] | None = stem) -> LexicalIndex:
-    """Index of distinct keys; a key that comes twice counts with its first text, a null text has no words."""
-    tokenised = (
-        docs.where(F.col(f"`{key}`").isNotNull())
-        .groupBy(F.col(f"`{key}`").alias("doc_id"))
-        .agg(F.min(F.col(f"`{text}`")).alias("text"))
-        .select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
-        .withColumn("length", F.size("words"))
-    )
-    documents = materialise(tokenised, "tokenised")
-    postings = materialise(_terms(documents, ["doc_id", "length"], F.col("words"), form, "tf"), "postings")
+    """Index of distinct keys; a key that comes twice counts with its first text, a null text has no words.
+
+    The documents are partitioned by key once; counting and forming the vectors keep that partitioning.
+    """
+    texts = docs.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("doc_id")).agg(F.min(F.col(f"`{text}`")).alias("text"))
+    term = F.when(F.col("term").isNotNull(), F.struct("term", F.col("tf").cast("int").alias("tf")))
+    vectors = _counted(texts, ["doc_id"], tokens(F.col("text")), form, "tf").groupBy("doc_id").agg(F.sum("tf").alias("length"), F.collect_list(term).alias("terms"))
+    documents = materialise(vectors, "documents")
     totals = documents.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n = totals["n"]
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = materialise(raw, "terms")
+    df = documents.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = materialise(df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
     floor = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, documents.select("doc_id"), n, float(totals["mean"] or 0.0), float(floor))
+    return LexicalIndex(documents, terms, n, float(totals["mean"] or 0.0), float(floor))
 
 
-def score_of(tf: Column, length: Column, mean_length: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length or 1.0)))
+def score_of(tf, length, mean_length: float):
+    """What an occurrence count adds to a score, for columns and for arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean_length or 1.0)))
 
 
 def bm25_top(
@@ -79,56 +80,71 @@ def bm25_top(
     k: int = 10,
     expand: bool = True,
     form: Callable[[Column], Column] | None = stem,
-    frequent: int | None = None,
 ) -> DataFrame:
-    """Rows (query_id, chunk_id, score, rank) of the k best documents of each query.
+    """Rows (query_id, chunk_id, score, rank) of the k best documents of each query, exactly.
 
     Scores are compared at six decimals, so the order of summation does not
-    decide between equal documents; then the least id comes first.  Terms in
-    more than ``frequent`` documents (a tenth of all, if not given) are
-    looked up only where they can matter.
+    decide between equal documents; then the least id comes first.
     """
     q = F.col(f"`{text}`")
-    asked = queries.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("query_id")).agg(F.min(q).alias("text"))
+    asked = queries.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("bigint").alias("query_id")).agg(F.min(q).alias("text"))
     words = tokens(expand_query(F.col("text")) if expand else F.col("text"))
-    per_term = _terms(asked, ["query_id"], words, form, "times")
-    weighted = materialise(per_term.join(index.terms, "term"), "asked")
-    scored = _scores(index, weighted, k, max(64, index.n // 10) if frequent is None else frequent)
-    # Fewer than k documents are found where a place is open, so one of the first 2k ids is free for it.  Only a
-    # floor below 0 (most terms in more than half of the documents) puts found documents behind all others.
-    fill = index.documents.orderBy("doc_id").limit(2 * k) if index.floor >= 0 else index.documents
-    padding = asked.select("query_id").join(fill, F.lit(True)).withColumn("score", F.lit(0.0))
-    all_scores = scored.union(padding).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
-    return all_scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
-
-
-def _sums(parts: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Rows (query_id, doc_id, score) of rows (query_id, doc_id, times, idf, tf, length)."""
-    part = F.col("times") * F.col("idf") * score_of(F.col("tf"), F.col("length"), index.mean_length)
-    return parts.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def _scores(index: LexicalIndex, weighted: DataFrame, k: int, limit: int) -> DataFrame:
-    """Scores of all documents that can be among the k best of a query, from rows (query_id, term, times, df, idf)."""
-    if index.floor < 0:
-        # A term may take from a score, so partial scores bound nothing.
-        return _sums(weighted.join(index.postings, "term"), index)
-    often = weighted.where(F.col("df") > limit)
-    rare = materialise(_sums(weighted.where(F.col("df") <= limit).join(index.postings, "term"), index), "rare")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
-    reached = rare.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("reached"))
-    bounds = often.groupBy("query_id").agg(F.sum(F.col("times") * F.col("idf") * (K1 + 1)).alias("more"))
-    bounds = materialise(bounds.join(reached, "query_id", "left").fillna(0.0, ["reached"]), "bounds")
-    undecided = F.col("more") >= F.col("reached") - 1e-5
-    # Rare terms do not decide: the frequent ones meet their postings.
-    late = often.join(bounds.where(undecided).select("query_id"), "query_id", "left_semi").join(index.postings, "term")
-    # They do: only documents within reach look them up.
-    near = rare.join(bounds.where(~undecided), "query_id").where(F.col("score") + F.col("more") >= F.col("reached") - 1e-5)
-    looked_up = near.select("query_id", "doc_id").join(often, "query_id").join(index.postings, ["term", "doc_id"])
-    columns = ["query_id", "doc_id", "times", "idf", "tf", "length"]
-    added = _sums(late.select(*columns).union(looked_up.select(*columns)), index)
-    return rare.union(added).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    weighted = _counted(asked, ["query_id"], words, form, "times").join(index.terms, "term", "left").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    weighted = materialise(weighted, "asked")
+    blocks = max(1, -(-weighted.count() // BLOCK_TERMS))
+    found = None
+    for block in range(blocks):
+        part = weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = _block_scores(index, part, k)
+        found = scored if found is None else found.union(scored)
+    return ranked(found, k)
+
+
+def _block_scores(index: LexicalIndex, part: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each partition for a block of queries (query_id, term, weight)."""
+    rows = part.toPandas()
+    ids = np.unique(rows["query_id"].to_numpy(np.int64))
+    rows = rows[rows["weight"].notna()]
+    names = pd.Index(rows["term"].unique())
+    at_query, at_term = np.searchsorted(ids, rows["query_id"].to_numpy(np.int64)), names.get_indexer(rows["term"])
+    order = np.lexsort((at_term, at_query))
+    at_query, at_term, weight = at_query[order], at_term[order], rows["weight"].to_numpy(float)[order]
+    begin = np.searchsorted(at_query, np.arange(len(ids) + 1))
+    shared = index.documents.sparkSession.sparkContext.broadcast((ids, list(names), at_term, weight, begin))
+    mean_length = index.mean_length
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, names, at_term, weight, begin = shared.value
+        place = {t: i for i, t in enumerate(names)}
+        best = Best(ids, k)
+        for pdf in batches:
+            pdf = pdf.sort_values("doc_id", kind="stable", ignore_index=True)
+            doc, term, tf = [], [], []
+            for i, (terms, counts) in enumerate(zip(pdf["terms"], pdf["tfs"], strict=True)):
+                for t, n in zip(terms, counts, strict=True):
+                    j = place.get(t)
+                    if j is not None:
+                        doc.append(i)
+                        term.append(j)
+                        tf.append(n)
+            doc, term, tf = np.array(doc, np.int64), np.array(term, np.int64), np.array(tf, float)
+            part = score_of(tf, pdf["length"].fillna(0).to_numpy(float)[doc], mean_length)
+            by_term = np.argsort(term, kind="stable")
+            doc, part = doc[by_term], part[by_term]
+            first = np.searchsorted(term[by_term], np.arange(len(names) + 1))
+            candidates = pdf["doc_id"].to_numpy(np.int64)
+            for q0, q1 in best.blocks(len(candidates)):
+                score = np.zeros((q1 - q0, len(candidates)))
+                for q in range(q0, q1):
+                    row = score[q - q0]
+                    for at in range(begin[q], begin[q + 1]):
+                        t = at_term[at]
+                        # A document stands once among those of a term.
+                        row[doc[first[t] : first[t + 1]]] += weight[at] * part[first[t] : first[t + 1]]
+                best.offer(q0, candidates, score)
+        yield from best.rows()
+
+    return index.documents.select("doc_id", "length", F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tfs")).mapInPandas(run, _FOUND)
 
 
 def normalised(ranking: DataFrame) -> DataFrame:

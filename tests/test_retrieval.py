@@ -5,15 +5,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pothi.operators import dense, fusion, lexical
+from pothi.operators import dense, fusion, lexical, topk
 from pothi.plugins import HashingEmbedder, OverlapScorer
 
 
-def ranking(spark, docs, queries, k, frequent=None):
+def ranking(spark, docs, queries, k):
     d = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
     q = spark.createDataFrame(list(enumerate(queries)), "id long, text string")
     index = lexical.build_index(d, "id", form=None)
-    rows = lexical.bm25_top(index, q, "id", "text", k, expand=False, form=None, frequent=frequent).orderBy("query_id", "rank").collect()
+    rows = lexical.bm25_top(index, q, "id", "text", k, expand=False, form=None).orderBy("query_id", "rank").collect()
     return [[(r["chunk_id"], r["score"]) for r in rows if r["query_id"] == i] for i in range(len(queries))]
 
 
@@ -43,8 +43,10 @@ def test_bm25_against_formula(spark):
         assert [i for i, _ in got] == order
 
 
-@pytest.mark.parametrize("frequent", [None, 1, 4, 12])
-def test_frequent_terms_change_nothing(spark, frequent):
+@pytest.mark.parametrize("block", [1, 10, 500_000])
+def test_blocks_of_queries_change_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", max(block, 30))
+    monkeypatch.setattr(topk, "SCORES", block)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(300)]
     chance = 1 / np.arange(1, 301)
@@ -55,7 +57,7 @@ def test_frequent_terms_change_nothing(spark, frequent):
     raw = {w: math.log(120 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
     floor = 0.25 * np.mean(list(raw.values()))
     assert floor > 0
-    for q, got in zip(queries, ranking(spark, docs, queries, 6, frequent), strict=True):
+    for q, got in zip(queries, ranking(spark, docs, queries, 6), strict=True):
         score = [
             sum((raw[w] if raw.get(w, 0) >= 0 else floor) * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in q.split() if w in raw)
             for b in bags
@@ -81,12 +83,34 @@ def test_dense_and_inverted_file(spark):
 
 
 def test_dense_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(topk, "SCORES", 40)
     monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
     monkeypatch.setattr(dense, "ROW_BLOCK", 7)
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 4)))], "id long, vector array<float>")
     got = dense.dense_top(rows.where("id < 10"), rows, 3)
     assert got.count() == 30 and got.where("rank = 1 and query_id = chunk_id").count() == 10
+    every = dense.inverted_file_top(rows.where("id < 10"), rows, 3, cells=4, probes=4)
+    assert sorted(map(tuple, every.select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, got.select("query_id", "chunk_id", "rank").collect()))
+
+
+def test_running_best_against_sorting():
+    rng = np.random.default_rng(4)
+    scores, ids = np.round(rng.random((7, 60)), 1), rng.permutation(60)
+    best = topk.Best(np.arange(7), 5)
+    for at in range(0, 60, 9):
+        best.offer(0, ids[at : at + 9], scores[:, at : at + 9])
+    for q in range(7):
+        assert best.ids[q].tolist() == [i for _, i in sorted(zip(-scores[q], ids, strict=True))[:5]]
+
+
+def test_probes_reach_the_recall(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 8)))], "id long, vector array<float>")
+    asked = rows.where("id % 20 = 0")
+    assert dense.cells_of(2000) == 44 and dense.cells_of(10**12) == dense.MOST_CELLS
+    assert dense.retrieval_recall(dense.inverted_file_top(asked, rows, 10), dense.dense_top(asked, rows, 10)) >= 0.9
 
 
 def test_dense_without_rows(spark):
