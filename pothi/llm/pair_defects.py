@@ -2,10 +2,11 @@
 
 A multi-label linear classifier scores each pair on hashed word n-grams of the
 answer and on features of the pair (shared words, language, how the end of the
-answer goes on in the evidence).  It is trained on a bounded sample of the
+answer goes on in the evidence, and how much of it is more than the question and
+the words of sentences that decline).  It is trained on a bounded sample of the
 corpus, taken as mostly sound, and on responses made defective from it:
-truncated, copied, swapped for another language, refused, emptied; next to
-them stand sound ones that look alike (no final mark, bare terms, part of the
+truncated, copied, swapped for another language, refused (composed of parts, so
+that no list of whole refusals is learnt), emptied; next to them stand sound ones that look alike (no final mark, bare terms, part of the
 question followed by an answer, refusal words that are only mentioned).
 Thresholds are calibrated on a held-out part of both.
 
@@ -41,35 +42,134 @@ STAND_INS = (
     "(no answer)", "no answer", "[no answer]", "(none)", "(empty)", "empty", "blank", "Answer:", "answer:", "A:", "Ans.", "Ans:", "Response:", "TBD", "unknown",
     "উত্তর:", "উত্তর :", "উঃ", "উ:", "উত্তর নেই", "প্রযোজ্য নয়", "কোনো উত্তর নেই", "নেই", "(উত্তর নেই)", "(খালি)", "not available", "not applicable", "undefined",
 )
-# Refusals; {x} is replaced by words of the question.
-REFUSALS = (
-    "I cannot determine this from the given context.", "Please provide more of the chapter so that I can answer.", "I do not know.", "I don't know.",
-    "The provided text contains no mention of {x}.", "As a language assistant I am unable to answer questions about the {x}.",
-    "It would not be right for me to guess about {x}.", "There is not enough information in the text to tell.",
-    "My apologies - the excerpt is too short for me to say why.", "That falls outside what I can discuss.",
-    "Sorry, no answer can be given here; please consult your teacher about {x}.", "Unable to answer.", "The passage does not say anything about {x}.",
-    "This can't be answered from the excerpt on {x}.", "Not stated in the source.", "I'm sorry, but I can't help with this question.",
-    "I must decline to respond here.", "Insufficient context.", "The {x} is never explained above, so I have to leave this one open.",
-    "As an AI model, I cannot answer this.", "I am not able to answer that.", "The text does not mention {x}.", "No information is given about {x}.",
-    "Sorry, I cannot answer this question.", "I'm afraid I can't say anything about {x}.", "The context does not contain the answer.", "I would rather not answer this.",
-    "I have no information about {x}.", "It is not possible to answer from the passage.", "Cannot be answered.", "I won't be able to help with {x}.",
-    "আরও অংশ দিলে তবেই বলতে পারব।", "উৎসে উল্লেখ করা হয়নি।", "এ বিষয়ে আমার জানা নেই।", "এটি আমার আলোচনার বাইরে।",
-    "দুঃখিত, আমি এই প্রশ্নের উত্তর দিতে পারছি না।", "পর্যাপ্ত তথ্য না থাকায় উত্তর দেওয়া সম্ভব নয়।",
-    "আমি একটি ভাষা মডেল, {x} নিয়ে মন্তব্য করতে পারি না।", "উত্তর দেওয়া গেল না।", "অনুচ্ছেদে এর উল্লেখ নেই, তাই বলা যাচ্ছে না।",
-    "আমি জানি না।", "দুঃখিত, এর উত্তর আমার জানা নেই।", "প্রদত্ত অংশে {x} সম্পর্কে কিছু বলা নেই।", "এই প্রশ্নের উত্তর দেওয়া আমার পক্ষে সম্ভব নয়।",
-    "প্রদত্ত অংশে {x} সম্পর্কে কিছু বলা হয়নি।", "মাফ করবেন, {x} নিয়ে অনুমান করা আমার পক্ষে ঠিক হবে না।", "{x} নিয়ে উপরে কিছু নেই, তাই প্রশ্নটি খোলা রাখছি।",
-    "পাঠ্যে {x} নিয়ে কোনো তথ্য নেই।", "আমি উত্তর দিতে অপারগ।", "অনুমান করা ঠিক হবে না।", "এ বিষয়ে শিক্ষকের কাছে জেনে নাও।",
-    "मुझे इसका उत्तर नहीं पता।", "क्षमा करें, मैं इसका उत्तर नहीं दे सकता।", "Je ne peux pas répondre à cette question.", "Désolé, le texte ne le dit pas.",
-    "Lo siento, no puedo responder a esta pregunta.", "No hay suficiente información en el texto.",
-)
-# Sentences that mention such words without declining.
-MENTIONS = (
-    "It cannot be determined by touch, so the gauge is read after {n} minutes.", "The sign “sorry” hangs there for {n} days.",
-    "The screen then shows the words “no answer” for {n} seconds.", "The card with “I do not know” stays there for {n} hours.", "It cannot be seen from above, so the worker waits {n} days.",
-    "The word “unknown” is written on the box for {n} weeks.", "The visitor says “sorry” and leaves after {n} minutes.", "The light is not enough, so the lamp is lit after {n} hours.",
-    "হাতে ধরে বলা যায় না, তাই {n} ধাপ পরে মান দেখা হয়।", "পর্দায় তখন “উত্তর নেই” লেখা {n} সেকেন্ড থাকে।", "“দুঃখিত” লেখা কার্ডটি সেখানে {n} দিন ঝোলে।",
-    "“জানি না” লেখা কাগজটি {n} ঘণ্টা সেখানে থাকে।", "চোখে দেখে বোঝা যায় না, তাই {n} মিনিট পরে মাপা হয়।",
-)
+# Parts that refusals are composed of, by language: openings, clauses that decline, what they are about,
+# reasons, texts that do not say, how they do not say it, and short forms.  {x} is replaced by words of the question.
+REFUSAL_PARTS: dict[str, dict[str, tuple[str, ...]]] = {
+    "en": {
+        "open": ("", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "I apologise, but ", "I'm afraid ", "Regrettably, ", "As an AI model, ", "As a language model, "),
+        "decline": (
+            "I cannot answer", "I can't answer", "I am unable to answer", "I'm not able to answer", "I cannot say", "I can't tell", "I do not know", "I don't know", "I am not sure",
+            "I have no information", "I could not find an answer", "I must decline to answer", "I prefer not to comment", "I will not guess", "I can't help", "it is impossible to say",
+            "it cannot be determined", "it is not possible to answer", "no answer can be given", "this cannot be answered", "I would only be guessing", "we cannot know", "I have to leave this unanswered",
+        ),
+        "about": ("", " this question", " that", " about {x}", " anything on {x}", " with {x}", " what was asked", " this one"),
+        "reason": (
+            "", " from the given text", " from this passage", " without more context", " with the information provided", ", because the text does not mention it", ", as the details are missing",
+            "; please ask your teacher", "; please provide more of the text", ", since it is outside my scope", " right now",
+        ),
+        "text": ("The text", "The passage", "The given context", "This excerpt", "The provided source", "The paragraph", "The chapter above", "The material"),
+        "silent": (
+            "does not mention {x}", "does not say", "says nothing about {x}", "contains no information about {x}", "gives no details on {x}", "never explains {x}", "does not cover this", "is not enough to tell",
+            "is too short for an answer", "has no mention of {x}", "does not state it", "lacks the answer",
+        ),
+        "short": (
+            "Not mentioned", "Not stated in the text", "Not specified", "Insufficient information", "Not enough context", "Cannot be determined", "No information available", "Information not provided",
+            "There is no information about {x}", "Nothing is said about {x}", "{x} is not mentioned in the text", "No details of {x} are given", "Unable to respond", "Please consult another source about {x}", "Outside my knowledge",
+            "Please share more context", "Please give me the rest of the text", "I can answer once I see more of the page", "With more details I could tell", "More of the source is needed to say anything",
+        ),
+    },
+    "bn": {
+        "open": ("", "দুঃখিত, ", "আমি দুঃখিত, ", "ক্ষমা করবেন, ", "মাফ করবেন, ", "দুর্ভাগ্যবশত, ", "ভাষা মডেল হিসেবে "),
+        "decline": (
+            "আমি উত্তর দিতে পারছি না", "আমি উত্তর দিতে পারব না", "আমি বলতে পারি না", "আমি জানি না", "আমার জানা নেই", "আমি নিশ্চিত নই", "উত্তর দেওয়া সম্ভব নয়", "উত্তর দেওয়া যাচ্ছে না", "কিছু বলা যাচ্ছে না",
+            "নিশ্চিত করে বলা সম্ভব নয়", "আমি সাহায্য করতে পারছি না", "আমি মন্তব্য করতে পারি না", "আমি অনুমান করতে চাই না", "আমি অক্ষম", "উত্তর খুঁজে পাওয়া যায়নি", "অনুমান করা ঠিক নয়",
+        ),
+        "about": ("", "এ বিষয়ে ", "এই প্রশ্নের ", "{x} সম্পর্কে ", "{x} নিয়ে ", "এটি নিয়ে "),
+        "reason": ("", "পর্যাপ্ত তথ্য না থাকায় ", "প্রদত্ত অংশ থেকে ", "আরও তথ্য ছাড়া ", "পাঠ্যে উল্লেখ না থাকায় "),
+        "text": ("প্রদত্ত অংশে", "পাঠ্যে", "অনুচ্ছেদে", "উৎসে", "এই লেখায়", "উপরের অংশে", "অধ্যায়ে", "প্রসঙ্গে"),
+        "silent": ("{x} সম্পর্কে কিছু বলা নেই", "{x} নিয়ে কোনো তথ্য নেই", "এর উল্লেখ নেই", "উল্লেখ করা হয়নি", "{x} সম্পর্কে কিছু বলা হয়নি", "উত্তর দেওয়া নেই", "এ কথা লেখা নেই", "যথেষ্ট তথ্য পাওয়া যায় না"),
+        "short": ("উল্লেখ নেই", "যথেষ্ট তথ্য নেই", "তথ্য অপর্যাপ্ত", "উত্তর জানা নেই", "শিক্ষকের কাছে জিজ্ঞাসা করো", "আরও তথ্য দিন", "এটি আমার জ্ঞানের বাইরে", "বলা সম্ভব নয়", "{x} সম্পর্কে তথ্য নেই",
+            "আরও তথ্য পেলে উত্তর দিতে পারব", "আরও লেখা দিলে বলা যাবে", "সম্পূর্ণ পাঠ্য দিলে জানাতে পারব", "উত্তর দেওয়ার জন্য আরও প্রসঙ্গ দরকার", "আমি কেবল একটি ভাষা মডেল", "উত্তরটি খোলা থাকল"),
+    },
+    "hi": {
+        "open": ("", "क्षमा करें, ", "माफ़ कीजिए, "),
+        "decline": ("मैं उत्तर नहीं दे सकता", "मुझे नहीं पता", "मैं नहीं जानता", "उत्तर देना संभव नहीं है", "मैं सहायता नहीं कर सकता"),
+        "about": ("", "इस प्रश्न का ", "इस बारे में "),
+        "reason": ("", "दिए गए पाठ से ", "पर्याप्त जानकारी के बिना "),
+        "text": ("पाठ में", "दिए गए अंश में"),
+        "silent": ("{x} का उल्लेख नहीं है", "इसकी जानकारी नहीं है"),
+        "short": ("जानकारी नहीं है", "उल्लेख नहीं है"),
+    },
+    "fr": {
+        "open": ("", "Désolé, ", "Malheureusement, "),
+        "decline": ("je ne peux pas répondre", "je ne sais pas", "il est impossible de répondre", "je ne suis pas en mesure de le dire"),
+        "about": ("", " à cette question", " sur {x}"),
+        "reason": ("", " avec le texte fourni", " sans plus d'informations"),
+        "text": ("Le texte", "Le passage"),
+        "silent": ("ne le dit pas", "ne mentionne pas {x}", "ne donne pas cette information"),
+        "short": ("Non mentionné", "Informations insuffisantes"),
+    },
+    "es": {
+        "open": ("", "Lo siento, ", "Lamentablemente, "),
+        "decline": ("no puedo responder", "no lo sé", "no es posible responder", "no puedo ayudar"),
+        "about": ("", " a esta pregunta", " sobre {x}"),
+        "reason": ("", " con el texto dado", " sin más información"),
+        "text": ("El texto", "El pasaje"),
+        "silent": ("no lo dice", "no menciona {x}", "no da esa información"),
+        "short": ("No se menciona", "No hay suficiente información"),
+    },
+}
+# Beginnings of sentences that use such words and go on with an answer, and frames that quote a refusal.
+MENTION_OPENINGS = {
+    "en": ("It cannot be seen by eye, so ", "It cannot be told by touch, so ", "This is not known at first, so ", "There is not enough of it, so ", "It is not possible by hand, so "),
+    "bn": ("চোখে দেখে বলা যায় না, তাই ", "হাতে ধরে বোঝা যায় না, তাই ", "শুরুতে জানা থাকে না, তাই ", "তা যথেষ্ট নয়, তাই "),
+}
+MENTION_FRAMES = {
+    "en": ("The sign there says “{r}” for {n} days.", "The card reads “{r}” and stays {n} hours.", "One of them says “{r}” and goes on after {n} minutes.", "The word “{r}” is written on the {w}."),
+    "bn": ("সেখানে “{r}” লেখা কার্ডটি {n} দিন থাকে।", "তখন পর্দায় “{r}” লেখা {n} মিনিট দেখা যায়।", "একজন “{r}” বলে {n} মিনিট পরে চলে যায়।"),
+}
+
+
+def compose_refusal(rng: random.Random, language: str, x: str, parts: dict[str, dict[str, tuple[str, ...]]] | None = None) -> str:
+    """A refusal composed of parts, about the words ``x``; a language without parts refuses in English."""
+    every = parts or REFUSAL_PARTS
+    p = every.get(language, every["en"])
+    pick = lambda name: rng.choice(p[name])
+    before = language in ("bn", "hi")
+    kind = rng.random()
+    if kind < 0.5:
+        about, reason = pick("about"), pick("reason") if rng.random() < 0.5 else ""
+        out = pick("open") + (reason + about + pick("decline") if before else pick("decline") + about + reason)
+    elif kind < 0.8:
+        out = (pick("open") if rng.random() < 0.3 else "") + f"{pick('text')} {pick('silent')}"
+        if rng.random() < 0.25:
+            out += (", তাই " if language == "bn" else ", इसलिए " if language == "hi" else ", so ") + pick("decline")
+    else:
+        out = pick("short")
+    out = out[:1].upper() + out[1:]
+    return out.replace("{x}", x) + ("।" if before else ".")
+
+
+#: Words that declining sentences are made of (all words of the parts, and of such sentences in general).
+_more = (
+    "a an the this that these those it its i i'm me my we you your he is are was were be been am do does did not no nor never nothing none any more so but and or of on in at to for from with by as if than then"
+    " can could cannot can't won't don't didn't doesn't isn't wouldn't couldn't shall should may might would will able unable"
+    " answer answers answered question questions asked text passage context excerpt source section lines article page book document material information details detail mention mentions mentioned"
+    " state states stated specify specified given provided provide contain contains say says said tell tells know known knowledge unknown unclear clear enough sufficient insufficient help assist respond response reply"
+    " comment speculate guess guessing sure certain sorry apologies apologise apologize afraid unfortunately regret teacher consult ask please other another here there about right discuss discussed scope outside beyond"
+    " decline refuse rather leave open only just above below available model assistant language ai explain explained explains determine determined found find let put short too why how what which"
+    " আমি আমার আমাকে আমরা আপনি আপনার তুমি এই এ এটি এটা এটির সেটি ওই তা তার তাই এর ও না নেই নয় নই হয় হয়নি যায় যায়নি যাচ্ছে গেল কি কিছু কিছুই কোনো কোন উত্তর উত্তরটি উত্তরের প্রশ্ন প্রশ্নের প্রশ্নটি প্রশ্নটির"
+    " দিতে দেওয়া দেয়া দিন দিলে দিয়ে পারি পারছি পারব পারলাম পারলে পারেনি বলতে বলা বলার বলব বলে জানি জানা জানতে জেনে জানাতে নাও নিন নিয়ে সম্পর্কে সম্বন্ধে বিষয়ে বিষয়টি তথ্য তথ্যের উল্লেখ করা করতে করছি করি করে করবেন করুন করো"
+    " প্রদত্ত দেওয়া অংশ অংশে অংশটি পাঠ্যে পাঠে লেখায় লেখা অনুচ্ছেদে অনুচ্ছেদ উৎসে উৎস প্রসঙ্গে অধ্যায়ে উপরে উপরের এখানে থেকে থাকায় ছাড়া তবে তবেই আরও যথেষ্ট পর্যাপ্ত সম্ভব ঠিক হবে হবেনা নিশ্চিত অনুমান মন্তব্য আলোচনার আলোচনা বাইরে"
+    " সাহায্য দুঃখিত ক্ষমা মাফ অপারগ অক্ষম শিক্ষকের শিক্ষককে কাছে জিজ্ঞাসা একটি ভাষা মডেল হিসেবে পক্ষে কারণ খোলা রাখছি খুঁজে পাওয়া পেলাম"
+)
+# Words by which somebody declines or says that something is not said.
+_declining = (
+    "cannot can't couldn't won't doesn't isn't unable don't know unknown outside lacks lack silent consult missing prefer unanswerable unanswered more once rest needed unspecified unstated without sorry apologies apologise apologize afraid unfortunately decline refuse insufficient not no never nothing guess speculate unclear"
+    " না নেই নয় নই হয়নি যায়নি অপর্যাপ্ত বাইরে আরও দিলে পেলে মডেল দুঃখিত ক্ষমা মাফ অপারগ অক্ষম नहीं क्षमा ne pas désolé impossible no siento"
+)
+
+
+class Lexicon:
+    """Words that refusals consist of, from the parts they are composed of and from common words of such sentences."""
+
+    def __init__(self, parts: dict[str, dict[str, tuple[str, ...]]] | None = None) -> None:
+        listed = " ".join(text for p in (parts or REFUSAL_PARTS).values() for group in p.values() for text in group).replace("{x}", " ")
+        self.usual = frozenset(canonical(f"{listed} {_more}").lower().replace(",", " ").replace(";", " ").split())
+        self.declining = frozenset(canonical(_declining).split())
+
+
+LEXICON = Lexicon()
 # Phrases before a question that is only given back, and before an answer that follows one.
 LEAD_INS = ("The question asks: ", "The question is: ", "You asked: ", "You want to know: ", "Question: ", "প্রশ্নে জানতে চাওয়া হয়েছে, ", "প্রশ্নটি হলো: ", "প্রশ্ন: ", "")
 AND_THEN = (", and the reason is this: ", ", and the answer is: ", ", আর উত্তরটি হলো: ", ", আর কারণটি হলো: ", ": ", ". ")
@@ -86,6 +186,7 @@ _final = re.compile(r"[.?!।॥][\"”’')\]\s]*$")
 _ellipsis = re.compile(r"(?:\.\s?\.+|…)[\"”’')\s]*$")
 _open_end = re.compile(r"[,;:–—-]\s*$")
 _sentence = re.compile(r"(?<=[.?!।])\s+")
+_quoted = re.compile(r"[“\"«][^”\"»]{0,300}[”\"»]")
 #: Answers for which the end must be looked up in the context.
 UNENDED = r"(?:[^.?!।॥\"”’')\]\s]|\.\.|…)[\"”’')\]\s]*$"
 
@@ -123,10 +224,10 @@ def tail_state(answer: str, context: list[str]) -> str:
     return state
 
 
-PAIR_FEATURES = 26
+PAIR_FEATURES = 32
 
 
-def pair_features(question: str, answer: str, state: str, languages: tuple[set[str], set[str]]) -> np.ndarray:
+def pair_features(question: str, answer: str, state: str, languages: tuple[set[str], set[str]], lexicon: Lexicon = LEXICON) -> np.ndarray:
     """Features of a pair in the consistent form."""
     x = np.zeros(PAIR_FEATURES, np.float32)
     q, a = _plain(question), _plain(answer)
@@ -168,6 +269,17 @@ def pair_features(question: str, answer: str, state: str, languages: tuple[set[s
     x[23] = any(c in answer for c in "“”\"")
     x[24] = min(len(a), 60) / 60
     x[25] = any(c.isdigit() for c in answer)
+    # Words that neither the question nor sentences that decline would use are content; a refusal has hardly any.
+    said = _plain(_quoted.sub(" ", answer)) if x[23] else a
+    # Endings of words may differ between question and answer.
+    begun = {w[:4] for w in q if len(w) > 3}
+    told = sum(w not in known and w not in lexicon.usual and w[:4] not in begun for w in said)
+    declines = not lexicon.declining.isdisjoint(said)
+    content = told / len(said) if said else 0.0
+    x[26], x[27] = declines, declines and content <= 0.34
+    x[28], x[29] = declines and content <= 0.15, declines and content * (1 - share) <= 0.05
+    x[30] = content
+    x[31] = declines and told <= 3 and len(said) >= 3 * told + 2
     return x
 
 
@@ -191,11 +303,11 @@ def hashed_ngrams(answer: str) -> list[int]:
     return [_slot(g) for g in grams]
 
 
-def design(rows: list[tuple[str, str, str, tuple[set[str], set[str]]]]) -> np.ndarray:
+def design(rows: list[tuple[str, str, str, tuple[set[str], set[str]]]], lexicon: Lexicon = LEXICON) -> np.ndarray:
     """Feature rows of (question, answer, state, languages)."""
     x = np.zeros((len(rows), PAIR_FEATURES + HASHED), np.float32)
     for i, (question, answer, state, languages) in enumerate(rows):
-        x[i, :PAIR_FEATURES] = pair_features(question, answer, state, languages)
+        x[i, :PAIR_FEATURES] = pair_features(question, answer, state, languages, lexicon)
         slots = hashed_ngrams(answer)
         if slots:
             np.add.at(x[i], np.array(slots) + PAIR_FEATURES, 1.0)
@@ -236,6 +348,7 @@ class DefectModel:
     weights: np.ndarray
     thresholds: np.ndarray
     languages: LanguageModel
+    lexicon: Lexicon = LEXICON
 
     def judge(self, pairs: list[tuple[str | None, str | None, str | None, str | None]]) -> list[str | None]:
         """Defect of each (question, answer, evidence, source), or nothing."""
@@ -250,7 +363,7 @@ class DefectModel:
                 unended = bool(answer) and (not _final.search(answer) or bool(_ellipsis.search(answer)))
                 state = tail_state(answer, context_tokens(pairs[i][2], pairs[i][3])) if unended else "none"
                 rows.append((questions[i], answer, state, (ql[i], al[i])))
-            p = 1 / (1 + np.exp(-np.clip(design(rows) @ self.weights, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(design(rows, self.lexicon) @ self.weights, -30, 30)))
             # How far above its threshold, on a common scale.
             lead = (p - self.thresholds) / (1 - self.thresholds)
             best = lead.argmax(axis=1)
@@ -288,7 +401,9 @@ def _calibrate(p: np.ndarray, y: np.ndarray) -> np.ndarray:
 Pair = tuple[str, str, str, tuple[set[str], set[str]]]
 
 
-def synthesise(clean: list[tuple[str, str, set[str], set[str]]], seed: int = 5) -> tuple[list[Pair], list[int]]:
+def synthesise(
+    clean: list[tuple[str, str, set[str], set[str]]], seed: int = 5, parts: dict[str, dict[str, tuple[str, ...]]] | None = None
+) -> tuple[list[Pair], list[int]]:
     """Training pairs and labels (index of the defect, -1 for sound) from sound (question, answer, languages)."""
     rng = random.Random(seed)
     pairs: list[Pair] = []
@@ -341,11 +456,20 @@ def synthesise(clean: list[tuple[str, str, set[str], set[str]]], seed: int = 5)
             part = re.sub(r"[.?!।]+$", "", rng.choice(asked))
             add(q, part + rng.choice(AND_THEN) + (a[:1].lower() + a[1:]), "none", (ql, ql | al), None)
             add(q, part + rng.choice(AND_THEN) + re.sub(r"[.,;]+$", "", term).lower(), "none", (ql, ql), None)
-        if rng.random() < 0.5:
-            x = " ".join(w for w in re.sub(r"[.?!।,]", "", rng.choice(asked)).split()[-2:])
-            add(q, rng.choice(REFUSALS).replace("{x}", x), "none", (ql, ql), "refusal")
-        if rng.random() < 0.25:
-            add(q, rng.choice(MENTIONS).replace("{n}", str(rng.randint(2, 900))), "none", (ql, ql), None)
+        tongue = min(ql) if ql else "en"
+        if rng.random() < 0.8:
+            # What a refusal is about stands in the question or is named anew.
+            tokens = re.sub(r"[.?!।,]", "", rng.choice(asked) if rng.random() < 0.6 else rng.choice(clean)[1]).split()
+            at = rng.randrange(len(tokens)) if tokens else 0
+            x = " ".join(tokens[at : at + rng.randint(1, 4)])
+            add(q, compose_refusal(rng, tongue, x, parts), "none", (ql, ql), "refusal")
+        if tongue in MENTION_FRAMES and rng.random() < 0.5:
+            if rng.random() < 0.5:
+                quoted = re.sub(r"[.।]$", "", compose_refusal(rng, tongue, "", parts)).strip()
+                fill = {"r": quoted, "n": str(rng.randint(2, 900)), "w": re.sub(r"[.,;?!।]", "", rng.choice(words)).lower() if words else "box"}
+                add(q, rng.choice(MENTION_FRAMES[tongue]).format(**fill), "none", (ql, ql), None)
+            else:
+                add(q, rng.choice(MENTION_OPENINGS[tongue]) + a[:1].lower() + a[1:], "none", (ql, al or ql), None)
         if rng.random() < 0.25:
             add(q, rng.choice(STAND_INS), "none", (ql, set()), "empty")
         others = [n for n in by_language if n not in ql]
@@ -355,40 +479,46 @@ def synthesise(clean: list[tuple[str, str, set[str], set[str]]], seed: int = 5)
     return pairs, labels
 
 
-def train(rows: list[tuple[str | None, str | None]], languages: LanguageModel, seed: int = 5) -> DefectModel:
+def train(
+    rows: list[tuple[str | None, str | None]], languages: LanguageModel, seed: int = 5, parts: dict[str, dict[str, tuple[str, ...]]] | None = None
+) -> DefectModel:
     """Classifier from a sample of (question, answer)."""
+    lexicon = Lexicon(parts) if parts else LEXICON
     kept = [(canonical(q), canonical(a)) for q, a in rows if q and a and len(_plain(a)) > 0]
     ql, al = language_sets([q for q, _ in kept], languages), language_sets([a for _, a in kept], languages)
-    refusals = {re.sub(r"\{x\}.*", "", r).strip().lower() for r in REFUSALS} - {""}
     stand_ins = {s.strip().lower() for s in STAND_INS}
     clean = []
     for (q, a), lq, la in zip(kept, ql, al, strict=True):
         low = a.strip().lower()
         shared = Counter(_plain(a)) & Counter(_plain(q))
         # The sample is taken as sound but for what the synthetic defects would contradict outright.
-        if low in stand_ins or any(len(r) > 6 and low.startswith(r) for r in refusals):
+        if low in stand_ins or pair_features(q, a, "none", (lq, la), lexicon)[28]:
             continue
         if sum(shared.values()) >= 0.85 * len(_plain(a)) or (lq and la and lq.isdisjoint(la)):
             continue
         if len(a.split()) > 3 and (not _final.search(a) or _ellipsis.search(a)):
             continue
         clean.append((q, a, lq, la))
-    pairs, labels = synthesise(clean[:REMADE], seed)
+    pairs, labels = synthesise(clean[:REMADE], seed, parts)
     for q, a, lq, la in clean[REMADE:]:
         pairs.append((q, a, "none", (lq, la)))
         labels.append(-1)
     if not pairs:
-        pairs, labels = synthesise([("What is a cell?", "A cell is the smallest unit of life.", {"en"}, {"en"})] * 20, seed)
+        pairs, labels = synthesise([("What is a cell?", "A cell is the smallest unit of life.", {"en"}, {"en"})] * 20, seed, parts)
     for s in STAND_INS:
         for _ in range(4):
             pairs.append(("What is it?", s, "none", ({"en"}, set())))
             labels.append(0)
-    x = design(pairs)
+    x = design(pairs, lexicon)
     y = (np.array(labels)[:, None] == np.arange(len(DEFECTS))).astype(np.float32)
-    held = np.random.default_rng(seed).random(len(x)) < 0.25
-    w = _fit_weights(x[~held], y[~held])
+    chance = np.random.default_rng(seed)
+    held = chance.random(len(x)) < 0.25
+    fitted = x[~held]
+    # Half of the rows are fitted without their n-grams, so that what the features say does not hang on known phrases.
+    fitted[chance.random(len(fitted)) < 0.5, PAIR_FEATURES:] = 0
+    w = _fit_weights(fitted, y[~held])
     p = 1 / (1 + np.exp(-np.clip(x[held] @ w, -30, 30)))
-    return DefectModel(w, _calibrate(p, y[held]), languages)
+    return DefectModel(w, _calibrate(p, y[held]), languages, lexicon)
 
 
 def fit_defects(df: DataFrame, question: str = "question", answer: str = "answer", sample: int = SAMPLE, key: str | None = None) -> DefectModel:

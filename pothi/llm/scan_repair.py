@@ -512,22 +512,26 @@ def _known(headers) -> dict[str, bool]:
 
 
 def repaired(df: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("evidence", "source_text"), source: str | None = "source") -> DataFrame:
-    """The named columns of each row of ``df`` repaired, with the key; equal texts of a book are repaired once, and only texts that change are joined."""
+    """The named columns of each row of ``df`` repaired, with the key; equal texts of a book are repaired once and joined by their keys."""
     texts, shared = _prepared(df, fields, source)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            fixed = pd.Series([repair(t, m, _known(h))[0] for t, h in zip(pdf["text"], pdf["headers"], strict=True)], dtype=object)
-            changed = (fixed.to_numpy() != pdf["text"].to_numpy()).astype(bool)
-            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "book": pdf["source"]})
-            yield out.assign(fixed=fixed.to_numpy())[changed]
+            fixed = [repair(t, m, _known(h))[0] for t, h in zip(pdf["text"], pdf["headers"], strict=True)]
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "book": pdf["source"], "fixed": pd.Series(fixed, dtype=object)})
 
     fixes = materialise(texts.mapInPandas(run, "a long, b long, book string, fixed string"), "fixes")
-    out = df.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)),
-                    (F.col(f"`{source}`").cast("string") if source and source in df.columns else F.lit(None).cast("string")).alias("source"))
+    book = F.col(f"`{source}`").cast("string") if source and source in df.columns else F.lit(None).cast("string")
+    # Rows travel with the keys of their texts; only a blank text, which is no text of the table, goes along.
+    keys = [
+        c.alias(f"{n}{i}")
+        for i, f in enumerate(fields)
+        for n, c in (("a", text_key(f)["a"]), ("b", text_key(f)["b"]), ("blank", F.when(~F.col(f"`{f}`").rlike(r"\S"), F.col(f"`{f}`"))))
+    ]
+    out = df.select(F.col(f"`{key}`").alias("key"), book.alias("own_book"), *keys)
     for i in range(len(fields)):
-        mine = fixes.withColumnsRenamed({"a": f"a{i}", "b": f"b{i}", "book": f"book{i}", "fixed": f"fixed{i}"})
-        same = (text_key(f"f{i}")["a"] == F.col(f"a{i}")) & (text_key(f"f{i}")["b"] == F.col(f"b{i}")) & F.col("source").eqNullSafe(F.col(f"book{i}"))
-        out = out.join(mine, same, "left")
-    return out.select(F.col("key").alias(key), *(F.coalesce(f"fixed{i}", f"f{i}").alias(f) for i, f in enumerate(fields)))
+        mine = fixes.withColumnsRenamed({"a": f"fa{i}", "b": f"fb{i}", "fixed": f"fixed{i}"})
+        same = (F.col(f"a{i}") == F.col(f"fa{i}")) & (F.col(f"b{i}") == F.col(f"fb{i}")) & F.col("own_book").eqNullSafe(F.col("book"))
+        out = out.join(mine, same, "left").drop(f"a{i}", f"b{i}", f"fa{i}", f"fb{i}", "book")
+    return out.select(F.col("key").alias(key), *(F.coalesce(f"fixed{i}", f"blank{i}").alias(f) for i, f in enumerate(fields)))

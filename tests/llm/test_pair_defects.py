@@ -3,7 +3,7 @@ import random
 import pytest
 
 from pothi.llm import language_id
-from pothi.llm.pair_defects import context_tokens, find_defects, tail_state, train
+from pothi.llm.pair_defects import MENTION_FRAMES, REFUSAL_PARTS, compose_refusal, context_tokens, find_defects, tail_state, train
 
 NOUNS = "river bridge garden lamp engine map paper wheel farmer basket storm valley".split()
 VERBS = "lifts cools guides stores copies turns holds marks".split()
@@ -53,6 +53,20 @@ def test_held_out_defects(model):
     assert len(wrong) <= 0.05 * len(all_cases), wrong[:5]
 
 
+def test_refusals_of_unseen_parts():
+    """Trained on every second part, the classifier knows refusals composed of the others, and not what only quotes them."""
+    rng = random.Random(2)
+    halves = [{lang: {k: v[h::2] or v for k, v in p.items()} for lang, p in REFUSAL_PARTS.items()} for h in (0, 1)]
+    model = train([pair(rng) for _ in range(400)], language_id.train([]), parts=halves[0])
+    pairs = [pair(rng) for _ in range(200)]
+    refused = [(q, compose_refusal(rng, "en", " ".join(q.split()[3:6]), halves[1]), None, None) for q, _ in pairs]
+    quoted = [(q, rng.choice(MENTION_FRAMES["en"]).format(r=compose_refusal(rng, "en", "it", halves[1])[:-1], n=rng.randint(2, 99), w=rng.choice(NOUNS)), None, None) for q, _ in pairs]
+    found = [k == "refusal" for k in model.judge(refused)]
+    false = [k == "refusal" for k in model.judge(quoted + [(q, a, None, None) for q, a in pairs])]
+    assert sum(found) >= 0.9 * len(found), [r[1] for r, ok in zip(refused, found, strict=True) if not ok][:20]
+    assert sum(found) >= 0.95 * (sum(found) + sum(false)), [r[1] for r, bad in zip(quoted, false, strict=False) if bad][:20]
+
+
 @pytest.mark.parametrize(
     ("answer", "context", "state"),
     [
