@@ -1,15 +1,17 @@
 """Template residue, filler, error pages and notices that scripts are required.
 
-A multi-pattern automaton runs once over each whole text, in lower case with
-digits folded, and finds the known phrases and the openings of template
-places.  A text without any hit is done.  Otherwise each passage (a line or a
-sentence) with a hit is judged: it is residue when the phrases cover most of
-it, or when it holds an unfilled place that the passage does not talk about.
-Coverage is measured per passage and not per document, because residue counts
-also where real sentences stand around it; lessons that mention an error or
-show a placeholder cover little of a sentence, quote it, or name it as text to
-be written.  Filler that has no phrase of its own is known by its form: one
-token over and over, or a run of words none of which is a function word.
+A multi-pattern automaton runs over each whole text, in lower case with digits
+folded, and finds core parts of messages (scripts, errors, filler), the ordinary
+words of such messages, and the openings of template places.  Where a core part
+or an opening was found, each passage (a line or a sentence) is judged: it is a
+message when it has a core part and nearly all of its letters belong to known
+words, and residue when it holds an unfilled place that it does not talk about.
+No whole messages are listed: a notice is known by the vocabulary of its trade,
+while a lesson that mentions an error has words of its own, quotes it, or explains
+("if", "means").  Coverage is measured per passage and not per document, because
+residue counts also where real sentences stand around it.  Three kinds are known
+by their form and not by coverage: unfilled places (by pattern), one token over and
+over, and a run of words none of which is a function word.
 
 Defined results: null, empty and blank texts are no residue; repeated texts are
 judged alike under each id; texts are judged whole, however long.
@@ -25,49 +27,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Messages and filler, digits written as 0; a passage that they cover is residue.
-PHRASES = (
-    # scripts required
-    "you need to enable javascript", "please enable javascript", "enable javascript to run this", "to run this book",
-    "please turn on javascript", "to read this lesson", "does not work properly without javascript enabled",
-    "we are sorry, but this reader", "your browser does not support scripts", "does not support javascript",
-    "or has them blocked", "scripting seems to be switched off", "the chapter cannot be displayed",
-    "the quiz and the text need active scripting", "noscript:", "to see the figures and text, allow scripts for this site",
-    "then press reload", "javascript is disabled in your browser", "javascript is disabled", "javascript is required",
-    "some parts of the site will not load", "this reader needs scripts", "enable them in your browser", "and reload the page",
-    "turn off the script blocker", "and refresh to go on reading",
-    "স্ক্রিপ্ট ছাড়া এই পৃষ্ঠা কাজ করে না", "আপনার ব্রাউজারে স্ক্রিপ্ট বন্ধ আছে", "তাই লেখা দেখানো যাচ্ছে না",
-    "লেখা দেখতে ব্রাউজারের সেটিংসে গিয়ে স্ক্রিপ্টের অনুমতি দিন", "বইটি খুলতে javascript সক্রিয় করে আবার লোড করুন",
-    "জাভাস্ক্রিপ্ট চালু করুন", "জাভাস্ক্রিপ্ট সক্রিয় করুন", "এই পাঠ দেখতে", "javascript সক্রিয় করুন", "javascript চালু করুন",
-    # errors of the delivering system
-    "error 0:", "the lesson service is not answering", "0 - the page you asked for could not be found", "page not found",
-    "the page you asked for could not be found", "go back to the start page", "the file you wanted has been moved or deleted",
-    "(code 0)", "bad gateway", "the upstream reader did not reply in 0 seconds", "gateway timeout", "after 0 ms",
-    "internal server error", "reference 0", "access denied", "you may not open this chapter", "ticket 0", "request rejected",
-    "quote number 0 when asking for help", "too many requests", "wait 0 seconds and try again", "we are down for maintenance",
-    "and will be back in 0 minutes", "your session has ended", "session expired", "sign in again to continue",
-    "this content is blocked in your region", "no such lesson", "id 0", "this lesson is no longer available", "return home",
-    "licence check failed", "viewer closed", "could not connect to the database", "on attempt 0", "undefined index chapter",
-    "warning: undefined", "in reader on line 0", "fatal error", "cannot load page", "something went wrong while opening this book",
-    "something went wrong", "please reload", "try again in 0 minutes", "the chapter could not be parsed",
-    "unexpected token at position 0", "loading chapter", "loading failed", "check your connection", "service unavailable",
-    "সেশনের মেয়াদ শেষ", "আবার প্রবেশ করুন", "রক্ষণাবেক্ষণ চলছে", "0 মিনিট পরে ফিরে আসুন", "সার্ভার সাড়া দিচ্ছে না",
-    "0 মিনিট পরে আবার চেষ্টা করুন", "লোড করা যায়নি", "সংযোগ পরীক্ষা করুন", "পাঠ লোড হচ্ছে", "আপনার প্রবেশাধিকার নেই",
-    "অভ্যন্তরীণ ত্রুটি ঘটেছে", "দুঃখিত, এই পাঠটি আর পাওয়া যাচ্ছে না", "প্রথম পাতায় ফিরে যান", "ত্রুটি 0:",
-    "আপনি যে পৃষ্ঠাটি খুঁজছেন তা পাওয়া যায়নি", "অনুরোধ প্রত্যাখ্যাত হয়েছে", "ফাইলটি সরানো বা মুছে ফেলা হয়েছে",
-    # filler
-    "lorem ipsum", "dolor sit amet", "consectetur adipiscing", "body text goes here", "text goes here", "write the chapter here",
-    "replace this with the lesson", "text to follow", "end of dummy block", "still to be written", "about 0 words", "(section 0",
-    "[draft]", "dummy copy of 0 words", "todo: add 0 paragraphs on this unit", "todo: check figure 0", "todo:", "tbd", "dummy text",
-    "to be announced", "coming soon",
-    "এখানে লেখা বসবে", "নমুনা অনুচ্ছেদ, চূড়ান্ত নয়", "পরে লেখা যোগ হবে", "(অংশ 0 এখনো লেখা হয়নি, প্রায় 0 শব্দ)", "এখনো লেখা হয়নি",
-    "কাজ বাকি:", "0 অনুচ্ছেদ যোগ করতে হবে", "চিত্র 0 দেখতে হবে",
-)
-# Page furniture, codes and polite words that fill out a message but are none by themselves.
-FURNITURE = (
-    "home | books | help", "skip to content", "menu search sign in", "class list > books > reader",
-    "প্রথম পাতা | বই | সাহায্য", "তালিকা খুঁজুন প্রবেশ", "oops", "sorry", "heading 0", "code 0", "কোড 0", "সূত্র 0", "টিকিট 0",
-)
+from pothi.llm.unicode_form import canonical
+
+# What notices, errors and filler are made of.  A passage is such a text when it consists of these words and
+# has a part of ``CORE``; the lists hold words and short parts of the trade, no whole messages.
+CORE = {
+    "script": ("javascript", "noscript", "scripts", "scripting", "script blocker", "জাভাস্ক্রিপ্ট", "স্ক্রিপ্ট", "cookies", "কুকি", "जावास्क्रिप्ट"),
+    "error": (
+        "error", "errors", "exception", "fatal", "warning", "undefined", "traceback", "stack trace", "denied", "forbidden", "unauthorized", "unauthorised", "rejected", "not found", "could not be found", "no such",
+        "no longer available", "not available", "unavailable", "moved or deleted", "been moved", "been deleted", "been removed", "does not exist", "expired", "session", "signed out", "logged out", "sign in", "log in",
+        "maintenance", "timeout", "timed out", "gateway", "too many requests", "rate limit", "try again", "please wait", "reload", "refresh", "loading", "failed", "could not connect", "cannot connect",
+        "could not be loaded", "cannot be displayed", "cannot load", "could not load", "will not load", "could not be parsed", "unexpected token", "went wrong", "blocked", "not responding", "did not reply", "not answering", "may not open", "return home", "page not found", "bad request",
+        "null pointer", "have permission", "database connection", "ত্রুটি", "সার্ভার সাড়া", "সেশন", "মেয়াদ", "লোড", "রক্ষণাবেক্ষণ", "প্রবেশাধিকার", "প্রত্যাখ্যাত", "অনুমতি নেই", "পাওয়া যায়নি", "পাওয়া যাচ্ছে না", "মুছে ফেলা", "আবার চেষ্টা", "আবার প্রবেশ", "ফিরে আসুন", "ফিরে যান", "সংযোগ", "त्रुटि", "erreur", "error del",
+    ),
+    "filler": (
+        "lorem", "ipsum", "todo", "tbd", "tba", "fixme", "placeholder", "dummy", "goes here", "text here", "to follow", "coming soon", "to be announced", "to be written", "to be added", "still to be", "write here", "chapter here", "lesson here",
+        "replace this", "insert", "draft", "sample text", "লেখা বসবে", "এখানে লেখা", "নমুনা অনুচ্ছেদ", "নমুনা লেখা", "খসড়া", "পরে যোগ", "যোগ হবে", "যোগ করতে হবে", "এখনো লেখা হয়নি", "কাজ বাকি", "লেখা হবে",
+    ),
+}
+WORDS = {
+    "system": (
+        "browser browsers settings setting support supports supported require required requires need needs needed enable enabled enabling disable disabled allow allowed activate active turn turned switch switched load loads loaded page pages"
+        " site website app application view viewer reader display displayed show shown run running code status reference ref ticket id ids request requested server servers service services upstream response respond responding reply answering"
+        " internal bad null unexpected token position index line attempt parse parsed fail failure unable find found missing exist exists access permission authorised authorized region country account password user network offline connect connected connection"
+        " database query limit exceeded quota licence license subscription invalid contact administrator admin home start return menu search skip oops apologies inconvenience wrong happened occurred opening open opened ask asked asking quote"
+        " number work working works properly parts closed close end ended ends wanted content contents book books chapter chapters lesson lessons unit units text texts quiz figure figures section sections heading title file files link links address url"
+        " check try trying blocker wait waiting later minute minutes second seconds ms hour hours moment moments down soon temporarily temporary step steps"
+    ),
+    "filler": "body copy block final add added write written replace insert here words word paragraph paragraphs yet follow follows about describe type your name note announced come comes content goes left blank empty list class classes draft dolor sit amet consectetur adipiscing elit",
+    "bengali": (
+        "ব্রাউজার ব্রাউজারে ব্রাউজারের সেটিংস সেটিংসে অনুমতি চালু বন্ধ সক্রিয় নিষ্ক্রিয় পৃষ্ঠা পৃষ্ঠাটি পাতা পাতায় প্রথম বই বইটি পাঠ পাঠটি অধ্যায় অধ্যায়টি লেখা লেখাটি ফাইল ফাইলটি কোড সূত্র টিকিট নম্বর অনুরোধ মিনিট সেকেন্ড পরে"
+        " আবার চেষ্টা প্রবেশ ফিরে আসুন যান দিন করুন করে করতে করা কাজ করবে দেখতে দেখানো খুলতে গিয়ে সাড়া দিচ্ছে দেয়নি শেষ হয়েছে হয়ে গেছে চলছে হচ্ছে যায়নি যাচ্ছে গেছে ঘটেছে সরানো মুছে ফেলা পরীক্ষা অভ্যন্তরীণ দুঃখিত আর আপনি আপনার খুঁজছেন যে"
+        " এখানে এখনো বসবে যোগ হবে বাকি অনুচ্ছেদ চূড়ান্ত নয় অংশ প্রায় শব্দ শব্দের চিত্র সাহায্য তালিকা খুঁজুন নেই না তা তাই এই এ ও বা ছাড়া থেকে জন্য কিছু সময় নেওয়া অপেক্ষা পাওয়া প্রয়োজন লোড আছে"
+    ),
+    "links": (
+        "a an the this that these those it its you your we our i us they them is are was were be been being am do does did has have had will would can could cannot can't couldn't doesn't don't isn't won't may might must should not no nor"
+        " and or but so to of in on at by for from with without as into off out up too many some any all more again please sorry there here after before then while which has see seen go going read reading get give let use used"
+    ),
+}
+# Words of sentences that explain or suppose instead of telling.
+EXPLAINING = frozenset("if when because means called example unless whenever whether explain explains first designers যদি যখন মানে অর্থ কারণ যেমন বলে উদাহরণ".split())
 # Openings of template places.
 OPENINGS = ("{", "<", "%(", "@@", "__", "[[", "[your ", "[insert ", "[এখানে ", " দিতে হবে)", "#")
 _name = r"[\w়-্ঁ-ঃা-ৌ‌‍ .-]{1,40}"
@@ -95,9 +94,12 @@ _blanks = re.compile(r"[^\S\n ]+| {2,}")
 _lines = re.compile(r"\n+")
 _sentences = re.compile(r"(?<=[.?!।])\s+")
 _latin_words = re.compile(r"[a-zà-öø-ɏ]+")
+_letter = r"[\w\u0900-\u0963\u0966-\u0dff\u200c\u200d]"
+_one_letter = re.compile(_letter)
+_message_words = re.compile(r"(?:(?!\d)[\w\u0900-\u0963\u0966-\u0dff\u200c\u200d']){2,}|[^\W\d]")
 _any_word = re.compile(r"[^\W\d_]")
 #: A passage is residue when this share of its letters is covered.
-COVERAGE = 0.6
+COVERAGE = 0.88
 #: Words of a run without function words, and repeats of one token, from which it is filler.
 RUN_WORDS, REPEATS = 6, 8
 
@@ -107,39 +109,55 @@ def folded(text: str) -> str:
     return _blanks.sub(" ", _numbers.sub("0", text.lower()))
 
 
-def automaton() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for phrase in PHRASES:
-        found.add_word(folded(phrase), (len(folded(phrase)), "phrase"))
-    for phrase in FURNITURE:
-        found.add_word(folded(phrase), (len(folded(phrase)), "furniture"))
-    for opening in OPENINGS:
-        found.add_word(opening, (len(opening), "place"))
-    found.make_automaton()
-    return found
-
-
-def _letters(text: str) -> int:
-    return sum(map(str.isalnum, text))
-
-
-def covered(passage: str, machine: ahocorasick.Automaton) -> bool:
-    """Whether known phrases cover a folded passage, at least one of them more than furniture."""
-    marks = bytearray(len(passage))
-    phrase = False
-    for end, (length, kind) in machine.iter(passage):
-        start = end + 1 - length
-        if kind == "place" or (
-            passage[start].isalnum() and start and passage[start - 1].isalnum()
-            or passage[end].isalnum() and end + 1 < len(passage) and passage[end + 1].isalnum()
-        ):
-            continue
-        phrase = phrase or kind == "phrase"
-        marks[start : end + 1] = b"\1" * length
-    if not phrase:
+class Vocabulary:
+    """The automaton of core parts and openings of template places, and the words that messages consist of."""
+
+    def __init__(self, core: dict[str, tuple[str, ...]] | None = None, words: dict[str, str] | None = None) -> None:
+        self.core = sorted({canonical(part) for group in (core or CORE).values() for part in group}, key=len, reverse=True)
+        self.words = frozenset(w for group in ((words or WORDS).values(), self.core) for text in group for w in canonical(text).split())
+        self.machine = ahocorasick.Automaton()
+        for part in self.core:
+            # Whole texts are searched as they are written: letters with a nukta stand as one character or as two.
+            for form in {part, _composed(part)}:
+                self.machine.add_word(form, (len(form), "core"))
+        for opening in OPENINGS:
+            self.machine.add_word(opening, (len(opening), "place"))
+        self.machine.make_automaton()
+
+    def without_core(self, passage: str) -> str | None:
+        """A folded passage without its core parts, or nothing when it has none; a Bengali part may carry an ending."""
+        spans = []
+        for end, (length, kind) in self.machine.iter(passage):
+            start = end + 1 - length
+            if kind == "core" and not (start and _one_letter.match(passage[start - 1])):
+                if not (passage[end].isascii() and end + 1 < len(passage) and _one_letter.match(passage[end + 1])):
+                    spans.append((start, end + 1))
+        if not spans:
+            return None
+        out, last = [], 0
+        for start, end in sorted(spans):
+            out.append(passage[last : max(last, start)])
+            last = max(last, end)
+        return " ".join([*out, passage[last:]])
+
+
+def _composed(text: str) -> str:
+    """The text with য়, ড়, ঢ় as one character."""
+    return text.replace("\u09af\u09bc", "\u09df").replace("\u09a1\u09bc", "\u09dc").replace("\u09a2\u09bc", "\u09dd")
+
+
+def covered(passage: str, vocabulary: Vocabulary) -> bool:
+    """Whether a folded passage tells a message: it has a core part, and nearly all of its letters belong to known words."""
+    passage = canonical(QUOTED.sub(" ", passage))
+    rest = vocabulary.without_core(passage)
+    if rest is None:
         return False
-    inside = sum(1 for c, m in zip(passage, marks, strict=True) if m and c.isalnum())
-    return inside >= COVERAGE * max(1, _letters(passage))
+    whole = _message_words.findall(passage)
+    if not EXPLAINING.isdisjoint(whole):
+        return False
+    # What is left of a word after a core part is its ending.
+    unknown = sum(len(w) for w in _message_words.findall(rest) if w not in vocabulary.words and w in whole)
+    return unknown <= (1 - COVERAGE) * max(1, sum(map(len, whole)))
 
 
 def unfilled(passage: str) -> bool:
@@ -168,19 +186,19 @@ def _wordless(passage: str) -> bool:
     return FUNCTION_WORDS.isdisjoint(words)
 
 
-def residue_kind(text: str | None, machine: ahocorasick.Automaton) -> str | None:
+def residue_kind(text: str | None, vocabulary: Vocabulary) -> str | None:
     """What a text holds instead of content (message, place or filler); null where nothing was found."""
     if not text or text.isspace():
         return None
-    kinds = {kind for _, (_, kind) in machine.iter(folded(text))}
-    phrase, place = "phrase" in kinds, "place" in kinds
+    kinds = {kind for _, (_, kind) in vocabulary.machine.iter(text.lower())}
+    core, place = "core" in kinds, "place" in kinds
     for line in _lines.split(text):
         if _repeated(line):
             return "filler"
         for passage in _sentences.split(line):
             if place and unfilled(passage):
                 return "place"
-            if phrase and covered(folded(passage), machine):
+            if core and covered(folded(passage), vocabulary):
                 return "message"
             if _wordless(passage.lower()):
                 return "filler"
@@ -188,9 +206,9 @@ def residue_kind(text: str | None, machine: ahocorasick.Automaton) -> str | None
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    machine = automaton()
+    vocabulary = Vocabulary()
     for pdf in batches:
-        kind = [residue_kind(t, machine) for t in pdf["text"]]
+        kind = [residue_kind(t, vocabulary) for t in pdf["text"]]
         out = pd.DataFrame({"key": pdf["key"], "kind": pd.Series(kind, dtype=object, index=pdf.index)})
         yield out[out["kind"].notna()]
 
@@ -212,8 +230,8 @@ def without_residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     @F.pandas_udf(T.BooleanType())
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = automaton()
+        vocabulary = Vocabulary()
         for texts in batches:
-            yield texts.map(lambda t: residue_kind(t, machine) is None)
+            yield texts.map(lambda t: residue_kind(t, vocabulary) is None)
 
     return df.where(clean(F.col(f"`{text}`")))
