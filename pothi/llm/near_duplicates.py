@@ -208,35 +208,42 @@ def word_maps(words: str) -> dict[str, F.Column]:
     return {f"map{j}": bits(j) for j in range(MAPS)}
 
 
-def far_pairs(far: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) whose similarity may reach ``least``, of records beyond t of the hub of a bucket.
-
-    Rows are (key, x, dx, n, maps).  All tests are exact, so no pair is lost: the
-    distances to the hub of two records alike differ by t at most, and a bit
-    that only one of two records sets stands for a word that the other lacks.
-    Large buckets are split into cells, so that their pairs are met in many
-    tasks.
+#: Members of a group of which one cell of pairs holds about so many.
+CELL = 256
+
+
+def group_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of the members of each group whose similarity may reach ``least``.
+
+    Rows are (kind, key, x, near, dx, n, maps): ``key`` names a hub, whose pairs
+    need one member near it, or a bucket, all of whose members are far from its
+    hub.  All tests are exact, so no pair is lost: the distances to the hub of two
+    records alike differ by t at most, and a bit that only one of two records
+    sets stands for a word that the other lacks.  What leaves a group therefore
+    follows the pairs alike in it.  Large groups are split into cells, so that
+    their pairs are met in many tasks.
     """
     t = 1 - least / (2 - least)
     maps = [f"map{j}" for j in range(MAPS)]
-    several = far.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    several = members.groupBy("kind", "key").agg(F.count("*").alias("m"), F.max("near").alias("some")).where("m > 1 and (some or kind = 'bucket')")
     cells = materialise(
-        far.join(several, "key")
-        .withColumn("cells", F.ceil(F.col("m") / 256))
+        members.join(several, ["kind", "key"])
+        .withColumn("cells", F.ceil(F.col("m") / CELL))
         .withColumn("cell", F.pmod(F.xxhash64("x"), F.col("cells")))
-        .drop("m"),
+        .drop("m", "some"),
         "cells",
     )
     left = cells.withColumn("other", F.explode(F.sequence("cell", F.col("cells") - 1))).drop("cells")
-    right = cells.drop("cells").withColumnsRenamed({"x": "y", "dx": "dy", "n": "ny", "cell": "other"} | {c: f"{c}y" for c in maps})
+    right = cells.drop("cells").withColumnsRenamed({"x": "y", "dx": "dy", "n": "ny", "near": "neary", "cell": "other"} | {c: f"{c}y" for c in maps})
 
     def alone(one: str, other: str) -> F.Column:
         return sum((F.bit_count(F.col(c + one).bitwiseAND(F.bitwise_not(c + other))) for c in maps), F.lit(0))
 
     common = F.least(F.col("n") - alone("", "y"), F.col("ny") - alone("y", ""))
     return (
-        left.join(right, ["key", "other"])
+        left.join(right, ["kind", "key", "other"])
         .where((F.col("cell") < F.col("other")) | (F.col("x") < F.col("y")))
+        .where((F.col("kind") == "bucket") | F.col("near") | F.col("neary"))
         .where(F.abs(F.col("dx") - F.col("dy")) <= t + 1e-9)
         .where(2 * common >= least * (F.col("n") + F.col("ny")) - 1e-9)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -280,21 +287,12 @@ def similar_representatives(representatives: DataFrame, least: float, banding: B
     ordered = scored.where(F.col("similarity") >= least).select(
         F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "similarity"
     )
-    near = scored.where(F.col("distance") <= t + 1e-9).select("hub", F.col("other").alias("x"), F.col("distance").alias("dx"))
-    around = scored.select("hub", F.col("other").alias("y"), F.col("distance").alias("dy"))
-    far = entries.join(measured.where(F.col("distance") > t + 1e-9), ["hub", "other"]).select(
-        "key", F.col("other").alias("x"), F.col("distance").alias("dx"), "n", *maps
-    )
-    # Pairs around one hub of which one or both are near it, each met once, and the pairs of those that are not.
-    open_pairs = (
-        near.join(around, "hub")
-        .where((F.col("x") != F.col("y")) & ((F.col("dy") > t + 1e-9) | (F.col("x") < F.col("y"))))
-        .where(F.abs(F.col("dx") - F.col("dy")) <= t + 1e-9)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .union(far_pairs(far, least))
-        .distinct()
-        .join(ordered.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    near = F.col("distance") <= t + 1e-9
+    columns = [F.col("other").alias("x"), near.alias("near"), F.col("distance").alias("dx"), "n", *maps]
+    around = scored.select(F.lit("hub").alias("kind"), F.col("hub").alias("key"), *columns)
+    far = entries.join(measured.where(~near), ["hub", "other"]).select(F.lit("bucket").alias("kind"), "key", *columns)
+    # Pairs around one hub of which one or both are near it, and the pairs of those in a bucket that are not.
+    open_pairs = group_pairs(around.union(far), least).join(ordered.select("a", "b"), ["a", "b"], "left_anti")
     closed = with_words(open_pairs, representatives, "a", "b").select("a", "b", dice().alias("similarity"))
     return ordered.union(closed.where(F.col("similarity") >= least)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 

@@ -226,3 +226,39 @@ def test_candidates_grow_with_the_records(spark):
         sides = prepared.join(classes.selectExpr("rep as id", "bag", "train"), ["id", "bag"]).select("id", "train", "words")
         counts[sf] = bucket_candidates(sides, 0.8, MinwiseBands()).count()
     assert 0 < counts["0.1"] <= 10**1.1 * counts["0.01"]
+
+
+def families(rng, frames, cores, copies, core_words, core_kept, copy_kept):
+    """Two levels of template families: each record keeps a share of its core, each core a share of its frame."""
+    fresh = lambda: f"v{rng.randrange(10**9)}"
+    out = []
+    for _ in range(frames):
+        frame_words = [fresh() for _ in range(core_words)]
+        for _ in range(cores):
+            core = [w if rng.random() < core_kept else fresh() for w in frame_words]
+            out += [" ".join(w if rng.random() < copy_kept else fresh() for w in core) for _ in range(copies)]
+    rng.shuffle(out)
+    return [(x, None) for x in out]
+
+
+@pytest.mark.parametrize(("words", "core_kept", "copy_kept"), [(60, 0.80, 0.86), (40, 0.82, 0.84)])
+def test_recall_in_wide_families(spark, words, core_kept, copy_kept):
+    records = families(random.Random(words), 3, 12, 14, words, core_kept, copy_kept)
+    sets = [set(q.split()) for q, _ in records]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 2 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]))}
+    df, _ = frame(spark, records)
+    got = {(r["a"], r["b"]) for r in near_duplicate_pairs(df).select("a", "b").collect()}
+    assert len(want) > 300 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_groups_give_hardly_more_than_the_pairs_alike(spark, monkeypatch):
+    """A family of 500 records around few hubs: 125,000 pairs meet, and nearly only the pairs alike leave."""
+    records = families(random.Random(7), 1, 25, 20, 50, 0.85, 0.9)
+    sets = [set(q.split()) for q, _ in records]
+    alike = sum(2 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])) for j in range(len(sets)) for i in range(j))
+    left = []
+    whole = near_duplicates.group_pairs
+    monkeypatch.setattr(near_duplicates, "group_pairs", lambda members, least: left.append(whole(members, least)) or left[-1])
+    df, _ = frame(spark, records)
+    near_duplicate_pairs(df).count()
+    assert left[0].count() <= 2 * alike < 0.1 * 125_000
