@@ -40,16 +40,16 @@ class PageExtractor(Protocol):
 
 @dataclass
 class HashingEmbedder:
-    """Signed hashing of words, unit length; an empty text is the zero vector."""
+    """Signed hashing of words by MD5, unit length; an empty text is the zero vector."""
 
     dimensions: int = 256
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions), np.float32)
+        out = np.zeros((len(texts), self.dimensions))
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimensions] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+                out[i, int(h[:8], 16) % self.dimensions] += 1.0 if int(h[8:16], 16) % 2 else -1.0
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
@@ -65,6 +65,29 @@ class OverlapScorer:
         return out
 
 
+class FirstWords:
+    """A generator that answers with the first words of the first passage of a prompt, or with the last ones of its question."""
+
+    def __init__(self, words: int = 12) -> None:
+        self.words = words
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        out = []
+        for prompt in prompts:
+            asked = prompt.rpartition("Question: ")[2].rpartition("\nAnswer:")[0]
+            before, found, after = prompt.rpartition("Passage 1:\n")
+            passage = after.partition("\n\n")[0] if found and before else None
+            out.append(" ".join(asked.split()[-self.words :]) if passage is None else " ".join(passage.split()[: self.words]))
+        return out
+
+
+class LengthVerifier:
+    """A verifier that lets prompts of an even length pass, fails the others, and gives nothing for every seventh length."""
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        return [None if len(p) % 7 == 0 else "PASS" if len(p) % 2 == 0 else "FAIL" for p in prompts]
+
+
 class ScriptDetector:
     """Language of a text by its script; nothing for a text without letters."""
 
@@ -107,3 +130,22 @@ class CallPolicy:
                 if limited(e):
                     self.sleep(self.first_wait * 2**attempt)
         return None
+
+    def shared(self, tasks: int) -> CallPolicy:
+        """The policy of one of so many concurrent tasks, which divide the rate among them."""
+        return CallPolicy(self.attempts, self.first_wait, self.calls_per_minute / max(1, tasks), self.sleep, self.clock)
+
+
+@dataclass
+class ServiceGenerator:
+    """A generator that calls a service for each prompt under a policy; ``tasks`` of them run at once."""
+
+    ask: Callable[[str], str]
+    policy: CallPolicy
+    tasks: int = 1
+    limited: Callable[[Exception], bool] = lambda e: "429" in str(e)
+
+    def generate(self, prompts: list[str]) -> list[str | None]:
+        # Each task has its own limiter, made where it runs.
+        own = self.__dict__.setdefault("_own", self.policy.shared(self.tasks))
+        return [own.call(lambda p=p: self.ask(p), self.limited) for p in prompts]
