@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pothi.operators.sampling import hashed_sample
 from pothi.operators.topk import Best, ranked
@@ -31,10 +30,10 @@ QUERY_BLOCK, ROW_BLOCK = 16_384, 65_536
 MOST_CELLS, SAMPLE = 4096, 20_000
 
 
-def embed_column(embedder: Embedder, prefix: str = ""):
-    """Pandas UDF of text to unit vectors; null counts as empty."""
+def embed_column(embedder: Embedder, prefix: str = "", kind: str = "float"):
+    """Pandas UDF of text to unit vectors of floats or doubles; null counts as empty."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(f"array<{kind}>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(embedder.embed([prefix + (t or "") for t in texts])), index=texts.index)

@@ -65,13 +65,13 @@ def rerank(candidates: DataFrame, scorer: PairScorer, top: int = 15, characters:
 
 
 def _mmr(ids: np.ndarray, relevance: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> list[int]:
-    """Positions in the order of choice; equal values go to the earlier candidate."""
+    """Positions in the order of choice; values equal at nine decimals go to the earlier candidate."""
     length = np.linalg.norm(vectors, axis=1)
     cosine = vectors @ vectors.T / (np.outer(length, length) + 1e-9)
     left, chosen = list(range(len(ids))), []
     while left and len(chosen) < k:
         value = relevance if not chosen else weight * relevance - (1 - weight) * cosine[:, chosen].max(axis=1)
-        best = max(left, key=lambda i: (value[i], -i))
+        best = max(left, key=lambda i: (round(float(value[i]), 9), -i))
         chosen.append(best)
         left.remove(best)
     return chosen

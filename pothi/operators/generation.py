@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pothi.functions.text import _nfc
+from pothi.operators.chunking import number_rows
+from pothi.plans.store import exists
 from pothi.plugins import Generator
 
 # Texts of the prompts.
@@ -126,3 +128,21 @@ def generated_pairs(chunks: DataFrame, generator: Generator, done: DataFrame | N
     parsed = generate(todo, prompt, generator).withColumn("pair", F.explode(parse_pairs(F.col("response"))))
     kept = [c for c in chunks.columns if c != "text"]
     return parsed.select("pair.question", "pair.answer", "pair.evidence", F.col("text").alias("source_text"), *kept)
+
+
+def numbered_pairs(made: DataFrame, order: list[str], first: int = 0) -> DataFrame:
+    """``made`` with consecutive ids ``qa_00000`` ... in the given order, ties by question."""
+    numbered = number_rows(made, [*order, "question"], "_number", first)
+    return numbered.withColumn("qa_id", F.format_string("qa_%05d", "_number")).drop("_number")
+
+
+def cached_pairs(chunks: DataFrame, generator: Generator, cache: str, per_chunk: int = 2) -> DataFrame:
+    """All pairs in the ``cache`` folder (parquet) after generating for the chunks that have none there.
+
+    A response without pairs leaves nothing behind, so its chunk is asked again
+    next time.
+    """
+    spark = chunks.sparkSession
+    done = spark.read.parquet(cache).select("chunk_id") if exists(spark, f"{cache}/_SUCCESS") else None
+    generated_pairs(chunks, generator, done, per_chunk).write.mode("append").parquet(cache)
+    return spark.read.parquet(cache)

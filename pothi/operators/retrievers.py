@@ -28,15 +28,15 @@ def lexical_retriever(index: lexical.LexicalIndex) -> Retriever:
     return lambda questions, k: lexical.bm25_top(index, questions, "query_id", "question", k)
 
 
-def embedded_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+def embedded_chunks(chunks: DataFrame, embedder: Embedder, kind: str = "float") -> DataFrame:
     """Rows (id, vector) of chunks (chunk_id, text), written once."""
-    embed = dense.embed_column(embedder, PASSAGE_PREFIX)
+    embed = dense.embed_column(embedder, PASSAGE_PREFIX, kind)
     return materialise(chunks.select(F.col("chunk_id").alias("id"), embed(F.col("text")).alias("vector")), "vectors")
 
 
-def dense_retriever(vectors: DataFrame, embedder: Embedder) -> Retriever:
+def dense_retriever(vectors: DataFrame, embedder: Embedder, kind: str = "float") -> Retriever:
     """Exact dense search over (id, vector)."""
-    embed = dense.embed_column(embedder, QUERY_PREFIX)
+    embed = dense.embed_column(embedder, QUERY_PREFIX, kind)
     return lambda questions, k: dense.dense_top(questions.select(F.col("query_id").alias("id"), embed(F.col("question")).alias("vector")), vectors, k)
 
 

