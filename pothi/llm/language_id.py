@@ -122,17 +122,16 @@ def word_count(segment: str) -> int:
     return sum(1 for w in segment.split() if any(c.isalpha() for c in w))
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """Counts of hashed n-grams, a dense row for each text; digits and marks only part words."""
+def _slots(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts and slots of their hashed n-grams, order by order; digits and marks only part words."""
     codes, owner = [], []
     for i, t in enumerate(texts):
         clean = " " + _not_letters.sub(" ", t.lower()).strip() + " "
         codes.append(np.frombuffer(clean.encode("utf-32-le"), np.uint32))
         owner.append(np.full(len(codes[-1]), i, np.int64))
     if not codes:
-        return np.zeros((0, DIMENSIONS), np.float32)
+        return
     code, owner = np.concatenate(codes).astype(np.uint64), np.concatenate(owner)
-    table = np.zeros(len(texts) * DIMENSIONS, np.float32)
     gram = np.zeros(len(code), np.uint64)
     for k in ORDERS:
         stop = len(code) - k + 1
@@ -143,10 +142,57 @@ def features(texts: list[str]) -> np.ndarray:
         if k == 1:
             whole &= code != 32
         slot = ((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int64)
-        table += np.bincount((owner[:stop] * DIMENSIONS + slot)[whole], minlength=len(table)).astype(np.float32)
+        yield owner[:stop][whole], slot[whole]
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """Counts of hashed n-grams, a dense row for each text."""
+    table = np.zeros(len(texts) * DIMENSIONS, np.float32)
+    for owner, slot in _slots(texts):
+        table += np.bincount(owner * DIMENSIONS + slot, minlength=len(table)).astype(np.float32)
     return table.reshape(len(texts), DIMENSIONS)
 
 
+def document_frequency(texts: list[str]) -> np.ndarray:
+    """Number of texts that have each slot."""
+    present = np.zeros(len(texts) * DIMENSIONS, bool)
+    for owner, slot in _slots(texts):
+        present[owner * DIMENSIONS + slot] = True
+    return present.reshape(len(texts), DIMENSIONS).sum(axis=0)
+
+
+def script_of(text: str) -> int:
+    """The script of most words of a text: Latin, Bengali, Devanagari, another, or none (0)."""
+    seen = np.bincount([m.lastindex for m in _scripts.finditer(text)], minlength=5)
+    return int(seen.argmax())
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each script of a partition, the number of texts and of those that have each slot."""
+    total, texts_of = np.zeros((5, DIMENSIONS), np.int64), np.zeros(5, np.int64)
+    for pdf in batches:
+        texts = [t for t in pdf["text"] if t]
+        scripts = np.array([script_of(t) for t in texts], np.int64)
+        for g in np.unique(scripts):
+            own = [t for t, s in zip(texts, scripts, strict=True) if s == g]
+            for at in range(0, len(own), 1024):
+                total[g] += document_frequency(own[at : at + 1024])
+            texts_of[g] += len(own)
+    for g in np.flatnonzero(texts_of):
+        yield pd.DataFrame({"script": [int(g)], "n": [int(texts_of[g])], "df": [total[g].tolist()]})
+
+
+def corpus_shares(texts: DataFrame) -> np.ndarray:
+    """For each script of a corpus (column ``text``), the share of its texts that have each slot; all texts are counted."""
+    parts = texts.select("text").where(F.col("text").rlike(r"\S")).mapInPandas(_frequencies, "script int, n long, df array<long>")
+    # One row for each script and partition goes into sums by script and slot; what comes back has five scripts at most.
+    summed = parts.select("script", "n", F.posexplode("df").alias("slot", "df")).groupBy("script", "slot").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
+    out = np.zeros((5, DIMENSIONS))
+    for r in summed:
+        out[r["script"], r["slot"]] = r["df"] / r["n"]
+    return out[out.any(axis=1)]
+
+
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -193,14 +239,20 @@ def _cluster(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
-def train(corpus: list[str]) -> LanguageModel:
-    """Model from the seeds and from corpus segments."""
+def train(corpus: list[str], shares: np.ndarray | None = None) -> LanguageModel:
+    """Model from the seeds and from corpus segments; ``shares`` are the document frequencies of the whole corpus by script.
+
+    Languages and scripts weigh alike in the IDF, whatever their shares of the corpus.
+    """
     seeds = [(name, s) for name, group in SEEDS.items() for s in group]
     labels = np.array([name for name, _ in seeds])
     seed_counts = features([s for _, s in seeds])
     counts = np.concatenate([seed_counts, features(corpus)]) if corpus else seed_counts
-    balanced = np.log1p(len(seed_counts)) - np.log1p((seed_counts > 0).sum(axis=0))
-    idf = (1 + balanced).astype(np.float32)
+    by_group = np.stack([(seed_counts[labels == name] > 0).mean(axis=0) for name in SEEDS])
+    if shares is not None and len(shares):
+        by_group = np.concatenate([by_group, shares])
+    n = len(seed_counts)
+    idf = (1 + np.log1p(n) - np.log1p(n * by_group.mean(axis=0))).astype(np.float32)
     x = _weighted(counts, idf)
     sx, cx = x[: len(seeds)], x[len(seeds) :]
     names = list(SEEDS)
@@ -237,7 +289,7 @@ def fit(df: DataFrame, text: str = "question", sample: int = SAMPLE, key: str |
         .toPandas()
     )
     corpus = [s for t in rows["text"] for s in segments(t) if word_count(s) >= FULL_SENTENCE]
-    return train(corpus[:sample])
+    return train(corpus[:sample], corpus_shares(known.select("text")))
 
 
 def languages_of(texts: list[str | None], model: LanguageModel) -> list[list[tuple[str, str, float]]]:

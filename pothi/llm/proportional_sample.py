@@ -86,17 +86,17 @@ def _best_exchange(counts: np.ndarray, floor: np.ndarray, have: np.ndarray, targ
 
 
 def _draw(rng: np.random.Generator, rest: np.ndarray, n: int) -> np.ndarray:
-    """Signature counts of ``n`` records drawn without replacement."""
+    """Random signature counts of ``n`` records, each signature in expectation by its share, none beyond what it has.
+
+    Binomial draws one after the other, the same at every number of records; the
+    exchange that follows starts from them.
+    """
     out, left = np.zeros_like(rest), int(rest.sum())
     for i, r in enumerate(rest.tolist()):
         if n <= 0 or left <= 0:
             break
-        # The exact distribution for counts that the generator takes, its limit beyond.
-        if left < 10**9:
-            got = int(rng.hypergeometric(r, left - r, n)) if r else 0
-        else:
-            got = max(0, min(r, n, round(rng.normal(n * r / left, math.sqrt(max(1e-9, n * (r / left) * (1 - r / left)))))))
-        got = max(got, n - (left - r))
+        got = int(rng.binomial(n, r / left))
+        got = max(min(got, r), n - (left - r))
         out[i] = got
         n -= got
         left -= r
