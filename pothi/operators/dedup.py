@@ -7,7 +7,10 @@ of the graph of similar pairs, found in rounds.
 Pairs come from an exact prefix join: with words in one global order, rarest
 first, two unit vectors can only reach the threshold when they share a word of
 both prefixes, where a prefix ends as soon as what remains is shorter than the
-threshold.  Rows with equal vectors are one node.
+threshold.  A frequent prefix word is split into cells of pairs, and a pair only
+leaves its cell when bit maps of the words allow the threshold: a word that one
+vector lacks takes its square from what the other can bring in.  Both tests are
+exact.  Rows with equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pothi.plans.store import materialise
 
 
 def word_vectors(df: DataFrame, key: str, text: str, words: Column | None = None) -> DataFrame:
-    """Rows (id, term, weight) of unit term-frequency vectors; rows without words have none."""
+    """Rows (id, term, tf, weight) of unit term-frequency vectors; rows without words have none."""
     t = words if words is not None else tokens(F.col(f"`{text}`"))
     tf = df.select(F.col(f"`{key}`").alias("id"), F.explode(t).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     # The sum of squares of counts is exact, so equal vectors get equal weights.
@@ -28,8 +31,39 @@ def word_vectors(df: DataFrame, key: str, text: str, words: Column | None = None
     return tf.withColumn("weight", F.col("tf") / length)
 
 
+#: Bit maps of a vector, and members of a word of which one cell of pairs holds about so many.
+MAPS, CELL = 4, 256
+
+
+def _maps() -> list[Column]:
+    """Bit maps of the words of a group."""
+    h = F.xxhash64("term")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return [F.bit_or(F.when(F.shiftright(h, 6).bitwiseAND(MAPS - 1) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"map{j}") for j in range(MAPS)]
+
+
+def _cell_pairs(prefix: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a prefix word (term, id, square, maps) and may reach the threshold."""
+    shared = prefix.groupBy("term").agg(F.count("*").alias("m")).where("m > 1").select("term", F.ceil(F.col("m") / CELL).alias("cells"))
+    rows = prefix.join(shared, "term").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
+    left = rows.withColumn("other", F.explode(F.sequence("cell", F.col("cells") - 1))).drop("cells")
+    right = rows.drop("cells").withColumnsRenamed({"cell": "other", "id": "id2", "square": "square2"} | {f"map{j}": f"other{j}" for j in range(MAPS)})
+
+    def lacking(one: str, two: str) -> Column:
+        return sum((F.bit_count(F.col(f"{one}{j}").bitwiseAND(F.bitwise_not(f"{two}{j}"))) for j in range(MAPS)), F.lit(0))
+
+    most = (F.col("square") - lacking("map", "other")) * (F.col("square2") - lacking("other", "map"))
+    return (
+        left.join(right, ["term", "other"])
+        .where((F.col("cell") < F.col("other")) | (F.col("id") < F.col("id2")))
+        .where(most >= threshold * threshold * F.col("square") * F.col("square2") - 1e-6)
+        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        .distinct()
+    )
+
+
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b, similarity), a < b, of nodes (id, term, weight) with cosine of at least ``threshold``, by prefix join."""
+    """All pairs (a, b, similarity), a < b, of nodes (id, term, tf, weight) with cosine of at least ``threshold``, by prefix join."""
     df_count = vectors.groupBy("term").agg(F.count("*").alias("df"))
     ordered = vectors.join(df_count, "term").select("id", "weight", F.struct("df", "term").alias("place"))
     # What remains from this word on; a word belongs to the prefix while that can still reach the threshold.
@@ -37,9 +71,9 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
         Window.partitionBy("id").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
     prefix = ordered.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9)
-    prefix = materialise(prefix.select("id", F.col("place.term").alias("term")), "prefix")
-    left, right = prefix.withColumnRenamed("id", "a"), prefix.withColumnRenamed("id", "b")
-    candidates = left.join(right, "term").where("a < b").select("a", "b").distinct()
+    sketch = vectors.groupBy("id").agg(F.round(1 / F.min(F.col("weight") * F.col("weight") / (F.col("tf") * F.col("tf")))).alias("square"), *_maps())
+    prefix = materialise(prefix.select("id", F.col("place.term").alias("term")).join(sketch, "id"), "prefix")
+    candidates = materialise(_cell_pairs(prefix, threshold), "candidates")
     packed = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
     scored = candidates.join(packed.withColumnsRenamed({"id": "a", "v": "va"}), "a").join(packed.withColumnsRenamed({"id": "b", "v": "vb"}), "b")
     similarity = F.aggregate(
@@ -57,7 +91,7 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     open_edges = materialise(edges.select("a", "b").distinct(), "edges")
     touched = open_edges.select(F.col("a").alias("id")).union(open_edges.select("b")).distinct()
     undecided = materialise(touched, "undecided")
-    dropped = None
+    dropped, rounds = None, 0
     while True:
         blocked = open_edges.select(F.col("b").alias("id")).distinct()
         keep = undecided.join(blocked, "id", "left_anti")
@@ -65,6 +99,10 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if drop.isEmpty():
             break
         dropped = drop if dropped is None else dropped.union(drop)
+        rounds += 1
+        if rounds % 8 == 0:
+            # The plan stays short, however many rounds follow.
+            dropped = materialise(dropped, "dropped")
         gone = drop.union(keep)
         open_edges = materialise(
             open_edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(drop.withColumnRenamed("id", "b"), "b", "left_anti"), "edges"
