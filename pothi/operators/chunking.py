@@ -45,23 +45,28 @@ def windows(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least: i
     return out
 
 
-def split_pages(pages: DataFrame, key: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """Rows (key, chunk_pos, start, text, char_count); pages are stripped first, blank ones give nothing."""
+def split_pages(
+    pages: DataFrame, key: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows (key, chunk_pos, start, text, char_count, kept columns of the page); pages are stripped first, blank ones give nothing."""
     kind = pages.schema[key].dataType.simpleString()
+    kept = [(f"_kept{i}", c) for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (k, position, start, chunk, len(chunk))
-                for k, page in zip(pdf["key"], pdf["text"], strict=True)
-                for position, (start, chunk) in enumerate(windows((page or "").strip(), size, overlap, least))
-            ]
-            yield pd.DataFrame(rows, columns=["key", "chunk_pos", "start", "text", "char_count"])
-
+            rows, own = [], []
+            for i, (k, page) in enumerate(zip(pdf["key"], pdf["text"], strict=True)):
+                for position, (start, chunk) in enumerate(windows((page or "").strip(), size, overlap, least)):
+                    rows.append((k, position, start, chunk, len(chunk)))
+                    own.append(i)
+            out = pd.DataFrame(rows, columns=["key", "chunk_pos", "start", "text", "char_count"])
+            yield out.assign(**{n: pdf[n].iloc[own].to_numpy() for n, _ in kept})
+
+    schema = ", ".join([f"key {kind}, chunk_pos int, start int, text string, char_count int", *(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in kept)])
     return (
-        pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-        .mapInPandas(run, f"key {kind}, chunk_pos int, start int, text string, char_count int")
-        .withColumnRenamed("key", key)
+        pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(n) for n, c in kept))
+        .mapInPandas(run, schema)
+        .withColumnsRenamed({"key": key} | dict(kept))
     )
 
 

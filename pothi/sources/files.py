@@ -33,15 +33,20 @@ def extraction_method(lang_code: Column, text_pages: Column, sampled: Column) ->
     return F.when(lang_code == "bn", "ocr").when(text_pages >= TEXT_SHARE * sampled, "native").otherwise("ocr")
 
 
-def extract_pages(files: DataFrame, extractor: PageExtractor) -> DataFrame:
-    """Rows (filename, page_num, text, error) of files (filename, content); a file that fails gives one row with its error."""
+def extract_pages(files: DataFrame, extractor: PageExtractor, first: int | None = None) -> DataFrame:
+    """Rows (filename, page_num, text, error) of files (filename, content); a file that fails gives one row with its error.
+
+    With ``first`` only so many pages are extracted, where the extractor can stop early (``first_pages``).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
             for name, content in zip(pdf["filename"], pdf["content"], strict=True):
                 try:
-                    rows += [(name, i, p.strip(), None) for i, p in enumerate(extractor.pages(bytes(content)), 1)]
+                    some = getattr(extractor, "first_pages", None) if first is not None else None
+                    pages = some(bytes(content), first) if some else extractor.pages(bytes(content))[:first]
+                    rows += [(name, i, p.strip(), None) for i, p in enumerate(pages, 1)]
                 except Exception as e:  # noqa: BLE001 - a broken file must not stop the others
                     rows.append((name, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["filename", "page_num", "text", "error"])
@@ -68,6 +73,42 @@ def audit(files: DataFrame, pages: DataFrame) -> DataFrame:
     ).drop("_sampled", "_text")
 
 
+def sampled_audit(files: DataFrame, contents: DataFrame, extractor: PageExtractor) -> DataFrame:
+    """Files with method, status and error, from their first pages only, before anything is extracted in full.
+
+    ``page_count`` is that of the sample here; extraction tells the rest.
+    """
+    return audit(files, extract_pages(contents, extractor, SAMPLED_PAGES))
+
+
+def to_extract(audited: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Audited files that have no result yet (``done`` has filename), each with the branch that reads it; failed ones are left out."""
+    todo = audited.where((F.col("status") != "audit_failed") & F.col("extraction_method").isNotNull())
+    if done is not None:
+        todo = todo.join(done.select("filename").distinct(), "filename", "left_anti")
+    return todo.withColumn("branch", F.when(F.col("extraction_method") == "native", "native").otherwise("ocr"))
+
+
+def run_extraction(audited: DataFrame, contents: DataFrame, native: PageExtractor, ocr: PageExtractor, done: DataFrame | None = None) -> DataFrame:
+    """Rows (filename, page_num, text, error, extraction_method) of the files that have no result yet, each read by its method.
+
+    The two branches are separate plans, so a slow recognition never holds up native reading in one task.
+    """
+    todo = to_extract(audited, done).select("filename", "branch")
+    parts = []
+    for branch, extractor in (("native", native), ("ocr", ocr)):
+        mine = contents.join(todo.where(F.col("branch") == branch).select("filename"), "filename", "left_semi")
+        parts.append(extract_pages(mine, extractor).withColumn("extraction_method", F.lit(branch)))
+    return parts[0].unionByName(parts[1])
+
+
+def extraction_status(audited: DataFrame, pages: DataFrame) -> DataFrame:
+    """Audited files with the outcome of extraction: done, failed (with its error), or not attempted."""
+    outcome = pages.groupBy("filename").agg(F.count_if(F.col("error").isNull()).alias("extracted_pages"), F.max("error").alias("extraction_error"))
+    status = F.when(F.col("extraction_error").isNotNull(), "extraction_failed").when(F.col("extracted_pages").isNotNull(), "extracted").otherwise(F.col("status"))
+    return audited.join(outcome, "filename", "left").withColumn("status", status)
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON, an array of records."""
     return spark.read.schema(schema).option("multiLine", "true").json(path)

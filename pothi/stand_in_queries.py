@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pothi.functions import text
 from pothi.operators import fusion, generation, lexical, retrievers, validation
 from pothi.plans import evaluation, run
+from pothi.sources import files
 from pothi.plugins import FirstWords, HashingEmbedder, LengthVerifier, OverlapScorer
 from pothi.queries import (
     EVERY, SQL_BM25, SQL_CHUNKS, SQL_PAIRS, SQL_PREDICTIONS, SQL_SUMMARY, WS, chunks, pairs, predictions, query, questions, rounded, sql_f1, sql_normal, sql_tokens, summarised, table,
@@ -237,3 +238,30 @@ def rescored_summary(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """What an embedder is given for each chunk, as a passage and as a query."""
     return chunks(spark, folder).select("chunk_id", *(F.md5(F.concat(F.lit(p), "text")).alias(n) for p, n in ((text.PASSAGE_PREFIX, "document_md5"), (text.QUERY_PREFIX, "query_md5"))))
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query(
+    f"""WITH c AS (SELECT chunk_id, substring(text, 1, {generation.PASSAGE_CHARACTERS}) AS t, source FROM {SQL_CHUNKS}), p AS (SELECT pair_id, question, q.chunk_id, c.t FROM {SQL_PAIRS} q JOIN c USING (chunk_id))
+    SELECT pair_id, md5({_sql_text(generation.GROUNDED_RULES + generation.GROUNDED_EXAMPLES + generation.NOW)} || 'Passage 1:' || chr(10) || t || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:') AS grounded_md5,
+      md5({_sql_text(generation.OPEN_RULES + generation.OPEN_EXAMPLES + generation.NOW)} || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:') AS open_md5 FROM p"""
+)
+def prompt_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the prompt of each pair with its own chunk as the passage, and of the one without passages."""
+    p = pairs(spark, folder).select("pair_id", "question", "chunk_id").join(chunks(spark, folder).select("chunk_id", "text"), "chunk_id")
+    grounded, free = generation.grounded_prompt(F.col("question"), F.array("text")), generation.open_prompt(F.col("question"))
+    return p.select("pair_id", F.md5(grounded).alias("grounded_md5"), F.md5(free).alias("open_md5"))
+
+
+@query(
+    """SELECT DISTINCT filename, CASE WHEN extraction_method = 'native' THEN 'native' ELSE 'ocr' END AS branch FROM source_files
+    WHERE extraction_method IS NOT NULL AND status <> 'audit_failed' AND filename NOT IN (SELECT filename FROM source_files WHERE extracted_path IS NOT NULL AND error IS NULL AND class_num % 2 = 0)"""
+)
+def extraction_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """The branch that reads each audited file, where the books of even classes are done already."""
+    audited = table(spark, folder, "source_files").distinct()
+    done = audited.where("extracted_path is not null and error is null and class_num % 2 = 0")
+    return files.to_extract(audited, done).select("filename", "branch").distinct()
