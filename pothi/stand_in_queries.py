@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pothi.functions import text
-from pothi.operators import fusion, generation, lexical, retrievers, validation
+from pothi.functions import metrics, text, vectors
+from pothi.operators import dedup, dense, fusion, generation, lexical, retrievers, validation
 from pothi.plans import evaluation, run
 from pothi.sources import files
-from pothi.plugins import FirstWords, HashingEmbedder, LengthVerifier, OverlapScorer
+from pothi.plugins import FirstWords, HashingEmbedder, LengthVerifier, OverlapScorer, ScriptDetector
 from pothi.queries import (
-    EVERY, SQL_BM25, SQL_CHUNKS, SQL_PAIRS, SQL_PREDICTIONS, SQL_SUMMARY, WS, chunks, pairs, predictions, query, questions, rounded, sql_f1, sql_normal, sql_tokens, summarised, table,
+    EVERY, SQL_BM25, SQL_CHUNKS, SQL_PAIRS, SQL_PREDICTIONS, SQL_QUESTIONS, SQL_SUMMARY, WS, chunks, pairs, predictions, query, questions, rounded, sql_f1, sql_greedy, sql_normal, sql_tokens, summarised, table,
 )
 
 DIMENSIONS = 64
@@ -265,3 +268,89 @@ def extraction_routes(spark: SparkSession, folder: str) -> DataFrame:
     audited = table(spark, folder, "source_files").distinct()
     done = audited.where("extracted_path is not null and error is null and class_num % 2 = 0")
     return files.to_extract(audited, done).select("filename", "branch").distinct()
+
+
+@query(
+    f"""WITH p AS (SELECT row_number() OVER () AS id, config_id, language, 'query: ' || {sql_normal("coalesce(predicted, '')")} AS a, 'query: ' || {sql_normal("coalesce(gold_answer, '')")} AS b FROM {SQL_PREDICTIONS}),
+    {sql_vectors('x', 'p', 'id', 'a')}, {sql_vectors('y', 'p', 'id', 'b')},
+    d AS (SELECT x.id, sum(x.v * y.v) AS dot FROM x JOIN y USING (id, slot) GROUP BY 1),
+    s AS (SELECT config_id, language, coalesce(dot, 0) / (n.length * m.length) AS v FROM p JOIN x_n n USING (id) JOIN y_n m USING (id) LEFT JOIN d USING (id))
+    SELECT config_id, round(avg(v), 6) AS bert_score, round(coalesce(stddev_samp(v), 0), 6) AS bert_score_std, round(coalesce(avg(v) FILTER (language = 'bn'), 0), 6) AS bn_bert_score,
+      round(coalesce(avg(v) FILTER (language = 'en'), 0), 6) AS en_bert_score FROM s JOIN run_configs USING (config_id) GROUP BY 1"""
+)
+def similarity_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The similarity columns of the wider summary, with the stand-in embedder."""
+    similarity = evaluation.sentence_similarity(F.col("predicted"), F.col("gold_answer"), HashingEmbedder(DIMENSIONS))
+    wide = evaluation.enhanced_summary(predictions(spark, folder).withColumn("bert_score", similarity), table(spark, folder, "run_configs"))
+    return rounded(wide.select("config_id", "bert_score", "bert_score_std", "bn_bert_score", "en_bert_score"))
+
+
+@query(f"WITH RECURSIVE {sql_greedy(SQL_QUESTIONS, 0.9)} SELECT a, b, round(d / sqrt(x.s::DOUBLE) / sqrt(y.s::DOUBLE), 6) AS similarity FROM alike JOIN dots USING (a, b) JOIN len2 x ON x.id = a JOIN len2 y ON y.id = b")
+def similar_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of questions with a cosine of 0.9 or more."""
+    q = table(spark, folder, "nctb_qa").where("pair_id is not null").groupBy(F.col("pair_id").alias("id")).agg(F.min("question").alias("question"))
+    return rounded(dedup.similar_pairs(dedup.word_vectors(q, "id", "question"), 0.9))
+
+
+@query(
+    f"""SELECT config_id, pair_id, CASE WHEN coalesce(list_contains(retrieved_ids[1:5], gold_chunk_id), false) THEN 1.0 ELSE 0.0 END AS recall_at_5 FROM {SQL_PREDICTIONS}"""
+)
+def recall_of_named_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall where every second retrieved id is kept under its formatted name."""
+    named = F.transform("retrieved_ids", lambda x, i: F.when(i % 2 == 0, F.format_string("chunk_%06d", x)).otherwise(x.cast("string")))
+    return predictions(spark, folder).select("config_id", "pair_id", metrics.recall_at_named(named, F.col("gold_chunk_id"), 5).alias("recall_at_5"))
+
+
+@query("SELECT query_id, chunk_id, retriever, round(greatest(0, least(1, 1 - score)), 6) AS similarity FROM (SELECT DISTINCT * FROM rankings)")
+def distance_similarities(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores read as cosine distances, as similarities."""
+    r = table(spark, folder, "rankings").distinct()
+    return rounded(r.select("query_id", "chunk_id", "retriever", vectors.similarity_of_distance(F.col("score")).alias("similarity")))
+
+
+@query(f"SELECT chunk_id, md5(text) AS text_md5, source, class_num, origin FROM {SQL_CHUNKS}, (VALUES ('json'), ('csv'), ('parquet')) v(origin) WHERE origin <> 'csv' OR class_num IS NOT NULL")
+def stage_round_trips(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks after they were written and read again as JSON, as CSV (those with a class) and as folders by class."""
+    from pothi.plans.store import shared_folder
+
+    c = chunks(spark, folder).select("chunk_id", F.md5("text").alias("text_md5"), "source", "class_num", F.col("class_num").cast("string").alias("folder_key"))
+    to = f"{shared_folder(spark)}/pothi/round-trips-{uuid.uuid4().hex}"
+    schema = "chunk_id long, text_md5 string, source string, class_num int"
+    files.write_json(c.drop("folder_key"), f"{to}/json")
+    files.write_csv(c.drop("folder_key").where("class_num is not null"), f"{to}/csv")
+    files.write_partitioned(c, f"{to}/parquet")
+    read = {
+        "json": spark.read.schema(schema).json(f"{to}/json"),
+        "csv": files.read_csv(spark, f"{to}/csv", schema),
+        "parquet": spark.read.parquet(f"{to}/parquet").select("chunk_id", "text_md5", "source", "class_num"),
+    }
+    return reduce(DataFrame.unionByName, (df.withColumn("origin", F.lit(name)) for name, df in read.items()))
+
+
+@query(f"SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'incoming' ELSE 'stored' END AS origin FROM {SQL_CHUNKS} WHERE chunk_id % 3 = 0 OR chunk_id % 2 = 0")
+def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of every second chunk after every third one came in."""
+    c = chunks(spark, folder).select("chunk_id")
+    stored, incoming = c.where("chunk_id % 2 = 0").withColumn("origin", F.lit("stored")), c.where("chunk_id % 3 = 0").withColumn("origin", F.lit("incoming"))
+    return dense.upsert(stored, incoming, "chunk_id")
+
+
+@query(
+    f"""SELECT config_id, pair_id, CASE WHEN coalesce(predicted, '') = '' THEN '' WHEN bengali > latin THEN 'bn' WHEN bengali + latin > 0 THEN 'en' ELSE '' END AS detected FROM (
+    SELECT config_id, pair_id, predicted, length(regexp_replace(coalesce(predicted, ''), '[^ঀ-৿]', '', 'g')) AS bengali, length(regexp_replace(coalesce(predicted, ''), '[^A-Za-z]', '', 'g')) AS latin FROM {SQL_PREDICTIONS})"""
+)
+def detected_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each answer by a detector that is plugged in."""
+    found = validation.detect_language(F.col("predicted"), ScriptDetector())
+    return predictions(spark, folder).select("config_id", "pair_id", F.coalesce(found, F.lit("")).alias("detected"))
+
+
+@query(
+    SQL_BM25.replace("rank <= 10", "rank <= 20") + "SELECT query_id, array_to_string(list(CAST(chunk_id AS VARCHAR) ORDER BY rank), ',') AS ids FROM ranking GROUP BY 1"
+)
+def retrieved_id_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of the twenty best chunks of each question, in order."""
+    index = lexical.build_index(table(spark, folder, "chunks"), "chunk_id")
+    found = lexical.bm25_top(index, asked(spark, folder), "query_id", "question", 20)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))
+    return found.groupBy("query_id").agg(F.array_join(listed["chunk_id"].cast("array<string>"), ",").alias("ids"))
