@@ -61,12 +61,18 @@ class TwoStage:
     weight: float = 0.6
 
     def __call__(self, questions: DataFrame, k: int = 10) -> DataFrame:
-        found = self.base(questions, POOL).select("query_id", "chunk_id")
+        first = materialise(self.base(questions, POOL), "candidates")
+        found = first.select("query_id", "chunk_id")
         shown = found.join(questions.select("query_id", "question"), "query_id").join(self.chunks.select("chunk_id", "text"), "chunk_id")
         reranked = materialise(fusion.rerank(shown, self.scorer, RERANKED).select("query_id", "chunk_id", "rerank_score"), "reranked")
         none = reranked.select("query_id", "chunk_id", F.lit(0.0).alias("score")).limit(0)
-        d = self.of_meaning(questions, POOL).select("query_id", "chunk_id", "score") if self.of_meaning else none
-        b = lexical.normalised(self.of_words(questions, POOL)).select("query_id", "chunk_id", "score") if self.of_words else none
+
+        def scores(of: Retriever) -> DataFrame:
+            # The first stage is not asked again where it is one of the two.
+            return first if of is self.base else of(questions, POOL)
+
+        d = scores(self.of_meaning).select("query_id", "chunk_id", "score") if self.of_meaning else none
+        b = lexical.normalised(scores(self.of_words)).select("query_id", "chunk_id", "score") if self.of_words else none
         vectors = None if self.vectors is None or k >= RERANKED else self.vectors.withColumnRenamed("id", "chunk_id")
         return fusion.two_stage(reranked, d, b, vectors, k, self.weight)
 
