@@ -192,7 +192,15 @@ UNENDED = r"(?:[^.?!।॥\"”’')\]\s]|\.\.|…)[\"”’')\]\s]*$"
 
 
 def _plain(text: str) -> list[str]:
-    return [w for w in WORDS.findall(text.lower()) if any(c.isalnum() for c in w)]
+    return [w for w in WORDS.findall(text.lower()) if w[0].isalnum() or any(map(str.isalnum, w))]
+
+
+def _end(answer: str) -> str:
+    """The end of a text from the mark or blank before its last letter on, which decides how it ends."""
+    at = len(answer)
+    while at and not answer[at - 1].isalnum():
+        at -= 1
+    return answer[max(0, at - 1) :]
 
 
 def context_tokens(*texts: str | None) -> list[str]:
@@ -231,7 +239,8 @@ def pair_features(question: str, answer: str, state: str, languages: tuple[set[s
     """Features of a pair in the consistent form."""
     x = np.zeros(PAIR_FEATURES, np.float32)
     q, a = _plain(question), _plain(answer)
-    ended, dots, hanging = bool(_final.search(answer)), bool(_ellipsis.search(answer)), bool(_open_end.search(answer))
+    end = _end(answer)
+    ended, dots, hanging = bool(_final.search(end)), bool(_ellipsis.search(end)), bool(_open_end.search(end))
     x[0] = 1
     x[1] = not a
     x[2], x[3] = len(a) <= 1, len(a) <= 3
@@ -310,10 +319,8 @@ def design(rows: list[tuple[str, str, str, tuple[set[str], set[str]]]], lexicon:
         x[i, :PAIR_FEATURES] = pair_features(question, answer, state, languages, lexicon)
         slots = hashed_ngrams(answer)
         if slots:
-            np.add.at(x[i], np.array(slots) + PAIR_FEATURES, 1.0)
-            part = x[i, PAIR_FEATURES:]
-            np.minimum(part, 1.0, out=part)
-            part *= 2.0 / np.sqrt(max(1.0, part.sum()))
+            once = np.unique(slots)
+            x[i, once + PAIR_FEATURES] = 2.0 / np.sqrt(len(once))
     return x
 
 
@@ -360,7 +367,8 @@ class DefectModel:
             rows = []
             for i in range(at, min(at + 512, len(pairs))):
                 answer = answers[i]
-                unended = bool(answer) and (not _final.search(answer) or bool(_ellipsis.search(answer)))
+                end = _end(answer)
+                unended = bool(end) and (not _final.search(end) or bool(_ellipsis.search(end)))
                 state = tail_state(answer, context_tokens(pairs[i][2], pairs[i][3])) if unended else "none"
                 rows.append((questions[i], answer, state, (ql[i], al[i])))
             p = 1 / (1 + np.exp(-np.clip(design(rows, self.lexicon) @ self.weights, -30, 30)))
