@@ -42,6 +42,7 @@ STAND_INS = (
     "(no answer)", "no answer", "[no answer]", "(none)", "(empty)", "empty", "blank", "Answer:", "answer:", "A:", "Ans.", "Ans:", "Response:", "TBD", "unknown",
     "উত্তর:", "উত্তর :", "উঃ", "উ:", "উত্তর নেই", "প্রযোজ্য নয়", "কোনো উত্তর নেই", "নেই", "(উত্তর নেই)", "(খালি)", "not available", "not applicable", "undefined",
 )
+_stand_ins = frozenset(canonical(s).strip().lower() for s in STAND_INS)
 # Parts that refusals are composed of, by language: openings, clauses that decline, what they are about,
 # reasons, texts that do not say, how they do not say it, and short forms.  {x} is replaced by words of the question.
 REFUSAL_PARTS: dict[str, dict[str, tuple[str, ...]]] = {
@@ -232,7 +233,7 @@ def tail_state(answer: str, context: list[str]) -> str:
     return state
 
 
-PAIR_FEATURES = 32
+PAIR_FEATURES = 33
 
 
 def pair_features(question: str, answer: str, state: str, languages: tuple[set[str], set[str]], lexicon: Lexicon = LEXICON) -> np.ndarray:
@@ -289,6 +290,7 @@ def pair_features(question: str, answer: str, state: str, languages: tuple[set[s
     x[28], x[29] = declines and content <= 0.15, declines and content * (1 - share) <= 0.05
     x[30] = content
     x[31] = declines and told <= 3 and len(said) >= 3 * told + 2
+    x[32] = answer.strip().lower() in _stand_ins
     return x
 
 
