@@ -60,7 +60,7 @@ def named_often(spark, tmp_path_factory):
     return written(spark, tmp_path_factory.mktemp("often"), [(1, i, f"w{i}", list(range(10)), "q") for i in range(300)], chunks)
 
 
-@pytest.mark.parametrize("name", ["faithfulness_scores"])
+@pytest.mark.parametrize("name", ["faithfulness_scores", "passage_coverage"])
 def test_odd_rows_against_sql(spark, odd, name):
     c = duckdb.connect()
     for t in ("predictions", "chunks"):
@@ -70,7 +70,7 @@ def test_odd_rows_against_sql(spark, odd, name):
     assert sorted(repr([r[n] for n in names]) for r in ran(spark, name, odd)[0]) == sorted(repr(list(r)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["faithfulness_scores"])
+@pytest.mark.parametrize("name", ["faithfulness_scores", "passage_coverage"])
 def test_texts_are_moved_once(spark, named_often, name):
     rows, plan = ran(spark, name, named_often)
     moved = sum(p.metrics().apply("dataSize").value() for p in plan if p.getClass().getSimpleName() == "ShuffleExchangeExec")
